@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import mixing
+from tallyspark.llm import mixing, warc
 
 QUERIES = {
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op8_warc": warc.op8_warc,
 }
 ORACLES = {
     "op4_source_mixing": mixing.SQL,
+    "op8_warc": warc.SQL,
 }
