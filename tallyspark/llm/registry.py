@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import mixing, warc
+from tallyspark.llm import licenses, mixing, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op8_warc": warc.op8_warc,
 }
