@@ -131,7 +131,8 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = DIM) -> tupl
                 rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
                 for lang, row in zip(langs[s], rows, strict=True):
                     total[lang] = total.get(lang, 0) + row
-        yield pd.DataFrame({"lang": list(total), "v": [list(v) for v in total.values()]})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "v": [list(v) for v in total.values()]})
 
     parts = eligible.select("text", "lang").mapInPandas(summed, "lang string, v array<double>")
     sums = _summed(parts)
