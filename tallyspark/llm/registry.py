@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import language, licenses, mixing, warc
+from tallyspark.llm import language, licenses, mixing, quality, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_quality": quality.op5_quality,
     "op8_warc": warc.op8_warc,
     "op9_language_id": language.op9_language_id,
 }
