@@ -32,8 +32,9 @@ from tallyspark.llm.common import checkpointed, crc_mod, sample_below, table
 
 #: Bound of the labelled sample.
 TRAIN_ROWS = 20_000
+#: Width and ridge were chosen on rows with crc32(doc_id) mod 5 = 1, learning from 2, 3 and 4
 FEATURES = 320
-WIDTH = 5.0
+WIDTH = 8.0
 RIDGE = 1e-2
 SEED = 7
 THRESHOLD = 0.3
