@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import language, licenses, mixing, quality, warc
+from tallyspark.llm import bpe, language, licenses, mixing, quality, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_quality": quality.op5_quality,
+    "op7_bpe": bpe.op7_bpe,
     "op8_warc": warc.op8_warc,
     "op9_language_id": language.op9_language_id,
 }
