@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, language, licenses, mixing, quality, warc
+from tallyspark.llm import bpe, jaccard, language, licenses, mixing, quality, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op7_bpe": bpe.op7_bpe,
     "op8_warc": warc.op8_warc,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op9_language_id": language.op9_language_id,
 }
 ORACLES = {
     "op4_source_mixing": mixing.SQL,
     "op8_warc": warc.SQL,
+    "op10_ngram_jaccard": jaccard.SQL,
 }
