@@ -42,7 +42,7 @@ THRESHOLD = 0.3
 STEP, LOW, HIGH = 0.002, -1.0, 2.0
 #: Share of the raw score in the result, so that ties of the calibration keep their order.
 TILT = 0.001
-PARTS = 8
+PARTS, SLOTS = 8, 8
 N_STATS = 20
 
 
@@ -147,17 +147,23 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     mean, scale = np.array(moments["mean"]), np.maximum(np.array(moments["sd"]), 1e-6)
 
     def normal_equations(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = FEATURES + 1
-        left, right = np.zeros((d, d)), np.zeros(d)
+        total = np.zeros((FEATURES + 1, FEATURES + 2))
+        rows = 0
         for part in parts:
-            z = fourier(np.stack(part["x"].to_numpy()) if len(part) else np.zeros((0, N_STATS)), mean, scale)
-            left += z.T @ z
-            right += z.T @ part["y"].to_numpy()
-        yield pd.DataFrame({"sums": [np.hstack([left, right[:, None]]).ravel()]})
-
-    # one matrix of fixed size from each of PARTS partitions
-    sums = sample.mapInPandas(normal_equations, "sums array<double>").collect()
-    both = np.sum([np.array(r["sums"]) for r in sums], axis=0).reshape(FEATURES + 1, FEATURES + 2)
+            if len(part):
+                z = fourier(np.stack(part["x"].to_numpy()), mean, scale)
+                total += z.T @ np.hstack([z, part["y"].to_numpy()[:, None]])
+                rows += len(part)
+        if rows:
+            yield pd.DataFrame({"slot": range(SLOTS), "sums": [x.tobytes() for x in np.array_split(total, SLOTS)]})
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        sums = np.sum([np.frombuffer(x) for x in rows["sums"]], axis=0)
+        return pd.DataFrame({"slot": rows["slot"][:1], "sums": [sums.tobytes()]})
+
+    # partitions are added up by slots of the matrix; the driver gets one matrix of fixed size
+    sums = sample.mapInPandas(normal_equations, "slot int, sums binary").groupBy("slot").applyInPandas(added, "slot int, sums binary").collect()
+    both = np.concatenate([np.frombuffer(bytes(r["sums"])) for r in sorted(sums, key=lambda r: r["slot"])]).reshape(FEATURES + 1, FEATURES + 2)
     penalty = RIDGE * moments["n"] / FEATURES * np.eye(FEATURES + 1)
     penalty[-1, -1] = 0.0
     weights = np.linalg.solve(both[:, :-1] + penalty, both[:, -1])
