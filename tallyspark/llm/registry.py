@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, jaccard, language, licenses, mixing, quality, warc
+from tallyspark.llm import bpe, jaccard, language, licenses, mixing, neardup, quality, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_quality": quality.op5_quality,
+    "op6_embedding_neardup": neardup.op6_embedding_neardup,
     "op7_bpe": bpe.op7_bpe,
     "op8_warc": warc.op8_warc,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op4_source_mixing": mixing.SQL,
+    "op6_embedding_neardup": neardup.SQL,
     "op8_warc": warc.SQL,
     "op10_ngram_jaccard": jaccard.SQL,
 }
