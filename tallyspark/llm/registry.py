@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, jaccard, language, licenses, mixing, neardup, quality, warc
+from tallyspark.llm import bpe, htmltext, jaccard, language, licenses, mixing, neardup, quality, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op3_html_text": htmltext.op3_html_text,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_quality": quality.op5_quality,
     "op6_embedding_neardup": neardup.op6_embedding_neardup,
