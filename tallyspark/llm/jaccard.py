@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import materialise, table
 from tallyspark.llm.graph import components
+from tallyspark.llm.words import mixed, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,11 +52,6 @@ def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL, trees:
     return 1
 
 
-@lru_cache(1)
-def _word_chars() -> np.ndarray:
-    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
-
-
 @lru_cache(4)
 def _hashes(trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
@@ -63,31 +59,17 @@ def _hashes(trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return (rng.integers(0, 1 << 31, n, dtype=np.uint32) * 2 + 1)[:, None], rng.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    inside = _word_chars()[codes]
-    if not inside.any():
-        return np.zeros(0, np.uint64)
-    starts = inside & ~np.r_[False, inside[:-1]]
-    at = np.flatnonzero(starts)
-    word = np.cumsum(starts) - 1
-    place = np.arange(len(codes)) - at[np.maximum(word, 0)]
-    letter = _mixed(codes.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(24)) + np.uint64(1))
-    letter[~inside] = 0
-    words = _mixed(np.add.reduceat(letter, at))
+    words = word_hashes(text)
+    if not len(words):
+        return words
     if len(words) < size:
         size = len(words)
     total = np.zeros(len(words) - size + 1, np.uint64)
     for k in range(size):
         total = total * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k]
-    return np.unique(_mixed(total))
+    return np.unique(mixed(total))
 
 
 def signature(marks: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> bytes:

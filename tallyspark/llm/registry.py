@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, htmltext, jaccard, language, licenses, mixing, neardup, quality, warc
+from tallyspark.llm import bpe, htmltext, jaccard, language, licenses, mixing, neardup, quality, search, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_bm25_topk": search.op2_bm25_topk,
     "op3_html_text": htmltext.op3_html_text,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_quality": quality.op5_quality,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
 }
 ORACLES = {
+    "op2_bm25_topk": search.SQL,
     "op4_source_mixing": mixing.SQL,
     "op6_embedding_neardup": neardup.SQL,
     "op8_warc": warc.SQL,
