@@ -201,16 +201,25 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("k").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("k"), "root")
     whole = reps.select("k", "rep", "n").join(links, "k", "left").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    classes = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
-    whole = whole.join(classes, "root").select("k", "class_id", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    first = F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("k")))
+    classes = whole.groupBy("root").agg(first.alias("first")).select("root", F.col("first.rep").alias("class_id"), F.col("first.k").alias("class_k"))
+    whole = whole.join(classes, "root").select("k", "class_id", "class_k", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     rows = docs.select("doc_id", key_of(F.col("text")).alias("k")).join(whole, "k", "left")
     alone = F.col("n_links").isNull()
     return rows.select(
         "doc_id", "k", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("k") == F.col("class_k")))).alias("kept"),
     )
 
 
+def deduplicate(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one document of each class; of repeated rows (same id and text) one stays."""
+    mark = lambda k: F.concat(k, F.coalesce(F.col("doc_id").cast("string").cast("binary"), F.lit(b"")))
+    kept = join(docs, **how).filter("kept").select(mark(F.col("k")).alias("__mark"))
+    marked = docs.withColumn("__mark", mark(key_of(F.col("text"))))
+    return marked.join(kept, "__mark", "left_semi").dropDuplicates(["__mark"]).drop("__mark")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("k")
 
