@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a query of (spark, sf_dir) under a name, with its oracle SQL."""
+
+    def keep(f: Callable) -> Callable:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+for _part in ("checks", "scalars", "words", "store", "golden", "infer", "sources", "learning"):
+    importlib.import_module(f"tallyspark.plans.{_part}")
