@@ -31,7 +31,7 @@ def normalise_heading(text: Column, most_words: int = 5) -> Column:
 
 def safe_label(label: Column, place: Column) -> Column:
     """A name fit for a key, at most 40 characters; ``column_<place>`` if nothing is left."""
-    slug = F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(label, F.lit("")), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""), 1, 40)
+    slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, 40)
     return F.when(slug != "", slug).otherwise(F.concat(F.lit("column_"), place.cast("string")))
 
 

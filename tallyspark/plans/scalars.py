@@ -150,7 +150,7 @@ def fn15_normalise_heading(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.normalise_heading(raw).alias("heading"))
 
 
-@query("fn16_safe_label", "SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'column_' || (p_partkey % 9)::VARCHAR ELSE substr(trim(regexp_replace(p_type || ' / ' || p_name || '!', '[^A-Za-z0-9]+', '_', 'g'), '_'), 1, 40) END AS label FROM part")
+@query("fn16_safe_label", "SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'column_' || (p_partkey % 9)::VARCHAR ELSE substr(trim(regexp_replace(lower(p_type || ' / ' || p_name || '!'), '[^a-z0-9]+', '_', 'g'), '_'), 1, 40) END AS label FROM part")
 def fn16_safe_label(spark, d):
     raw = F.when(F.col("p_partkey") % 9 == 0, "--").otherwise(F.concat("p_type", F.lit(" / "), "p_name", F.lit("!")))
     return table(spark, d, "part").select("p_partkey", text.safe_label(raw, F.col("p_partkey") % 9).alias("label"))
