@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: All white space, the non-breaking kinds and the ASCII separators included.
-SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]"
+SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def normalize_space(text: Column) -> Column:
