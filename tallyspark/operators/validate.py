@@ -10,16 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DOC = Window.partitionBy("doc")
-PRINTED = DOC.orderBy("i")
+
+def per_doc():
+    return Window.partitionBy("doc")
+
+
+def printed():
+    """The rows of a document in the order they are printed."""
+    return per_doc().orderBy("i")
 
 
 def newest_first(txns: DataFrame) -> DataFrame:
     """``txns`` with ``descending``: more dates fall than rise, all are known, two rows at least."""
-    before = F.lag("txn_date").over(PRINTED)
+    before = F.lag("txn_date").over(printed())
     steps = txns.withColumn("__step", F.when(before > F.col("txn_date"), 1).when(before < F.col("txn_date"), -1).otherwise(0))
-    known = F.count("txn_date").over(DOC) == F.count(F.lit(1)).over(DOC)
-    return steps.withColumn("descending", (F.count(F.lit(1)).over(DOC) >= 2) & known & (F.sum("__step").over(DOC) > 0)).drop("__step")
+    known = F.count("txn_date").over(per_doc()) == F.count(F.lit(1)).over(per_doc())
+    return steps.withColumn("descending", (F.count(F.lit(1)).over(per_doc()) >= 2) & known & (F.sum("__step").over(per_doc()) > 0)).drop("__step")
 
 
 def balance_chain(txns: DataFrame) -> DataFrame:
@@ -31,7 +37,7 @@ def balance_chain(txns: DataFrame) -> DataFrame:
     rows = newest_first(txns).withColumn("at", F.when(F.col("descending"), -F.col("i")).otherwise(F.col("i")))
     error = F.when(F.col("debit").isNull() & F.col("credit").isNull(), "missing_amount").when((F.coalesce("debit", F.lit(0)) < 0) | (F.coalesce("credit", F.lit(0)) < 0), "negative_amount")
     move = F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))
-    order = DOC.orderBy("at")
+    order = per_doc().orderBy("at")
     rows = rows.withColumns({"__error": error, "__sum": F.sum(move).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     restart = F.when(F.col("__error").isNotNull() | F.col("balance").isNotNull(), F.struct("balance", "__sum"))
     last = F.last(restart, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -54,7 +60,7 @@ _SEVERITY = {"missing_amount": "FAIL", "negative_amount": "FAIL", "balance_misma
 
 def chain_issues(txns: DataFrame) -> DataFrame:
     """Issues of the balance chain; a ledger without any balance has only the one that says so."""
-    rows = balance_chain(txns).withColumn("__some", F.max(F.col("balance").isNotNull()).over(DOC))
+    rows = balance_chain(txns).withColumn("__some", F.max(F.col("balance").isNotNull()).over(per_doc()))
     severity = F.create_map(*[F.lit(x) for kv in _SEVERITY.items() for x in kv])
     own = rows.filter("__some and outcome not in ('ok', 'unchecked')").select("doc", F.lit("balance_chain").alias("check"), F.col("outcome").alias("code"), severity[F.col("outcome")].alias("severity"), F.col("i").alias("row_index"))
     per = rows.groupBy("doc").agg(F.max("__some").alias("some"), F.first("opening").alias("opening"))
@@ -98,7 +104,7 @@ def reconciliation_issues(txns: DataFrame, headers: DataFrame) -> DataFrame:
 def row_issues(txns: DataFrame, headers: DataFrame) -> DataFrame:
     """Both amounts, no date, a date out of the statement's own order or outside its period."""
     rows = newest_first(txns).join(headers.select("doc", "period_start", "period_end"), "doc", "left")
-    before = F.last("txn_date", ignorenulls=True).over(PRINTED.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("txn_date", ignorenulls=True).over(printed().rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("before", before)
     wrong = F.when(F.col("descending"), F.col("txn_date") > F.col("before")).otherwise(F.col("txn_date") < F.col("before"))
     outside = F.coalesce(F.col("txn_date") < F.col("period_start"), F.lit(False)) | F.coalesce(F.col("txn_date") > F.col("period_end"), F.lit(False))

@@ -151,7 +151,7 @@ def agg1_totals(spark, d):
 
 @query("agg2_date_steps", f"{_ORDERED} SELECT doc, count(*) FILTER (WHERE prev_on < txn_date) AS up, count(*) FILTER (WHERE prev_on > txn_date) AS down FROM steps GROUP BY doc")
 def agg2_date_steps(spark, d):
-    before = F.lag("txn_date").over(v.PRINTED)
+    before = F.lag("txn_date").over(v.printed())
     steps = ledger(spark, d).withColumn("before", before)
     return steps.groupBy("doc").agg(F.count_if(F.col("before") < F.col("txn_date")).alias("up"), F.count_if(F.col("before") > F.col("txn_date")).alias("down"))
 

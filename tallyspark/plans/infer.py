@@ -164,7 +164,7 @@ def inf16_longest_description(spark, d):
 
 @query("win5_monotone", f"WITH {LEDGER_SQL}, s AS (SELECT doc, txn_date, lag(txn_date) OVER (PARTITION BY doc ORDER BY i) AS b FROM ledger) SELECT doc, coalesce(bool_and(b <= txn_date), true) AS rising, coalesce(bool_and(b >= txn_date), true) AS falling FROM s GROUP BY doc")
 def win5_monotone(spark, d):
-    from tallyspark.operators.validate import PRINTED
+    from tallyspark.operators.validate import printed
 
-    rows = ledger(spark, d).withColumn("before", F.lag("txn_date").over(PRINTED))
+    rows = ledger(spark, d).withColumn("before", F.lag("txn_date").over(printed()))
     return rows.groupBy("doc").agg(F.coalesce(F.bool_and(F.col("before") <= F.col("txn_date")), F.lit(True)).alias("rising"), F.coalesce(F.bool_and(F.col("before") >= F.col("txn_date")), F.lit(True)).alias("falling"))
