@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import table
+from tallyspark.llm.common import bounded_batches, table
 
 #: Pieces of more bytes than this are encoded but not kept.
 CACHE_PIECES, CACHE_BYTES = 300_000, 64
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = load(path)
         return pd.Series([unpack(bpe.encode(t if isinstance(t, str) else "")) for t in text])
 
-    return docs.withColumn("token_ids", ids("text"))
+    return bounded_batches(docs).withColumn("token_ids", ids("text"))
 
 
 def decode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -199,7 +199,7 @@ def decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = load(path)
         return pd.Series([bpe.decode([] if x is None else list(map(int, x))) for x in ids], dtype=object)
 
-    return docs.withColumn("decoded", texts("token_ids"))
+    return bounded_batches(docs).withColumn("decoded", texts("token_ids"))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -217,7 +217,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = [F.col(c) for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    return docs.select(*kept, both("text").alias("__b")).select(*kept, "__b.n_tokens", "__b.ids_sha256", "__b.decoded_sha256")
+    return bounded_batches(docs).select(*kept, both("text").alias("__b")).select(*kept, "__b.n_tokens", "__b.ids_sha256", "__b.decoded_sha256")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

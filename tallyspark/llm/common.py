@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tallyspark"
 
 
+#: What a Python worker holds at once: rows and bytes of one Arrow batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Keep Arrow batches of this session small, so that long texts do not fill a worker's memory."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

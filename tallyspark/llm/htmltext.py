@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import table
+from tallyspark.llm.common import bounded_batches, table
 
 # fixed values: classes of HTML elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -511,7 +511,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def texts(html: pd.Series) -> pd.Series:
         return pd.Series([page_text(h) for h in html], dtype=object)
 
-    return pages.withColumn("text", texts("html"))
+    return bounded_batches(pages).withColumn("text", texts("html"))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

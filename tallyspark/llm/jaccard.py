@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialise, table
+from tallyspark.llm.common import bounded_batches, materialise, table
 from tallyspark.llm.graph import components
 from tallyspark.llm.words import mixed, word_hashes
 
@@ -193,7 +193,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     the least of those with the same text, n_links the number of other documents
     linked directly, copies included. One document of each class is kept.
     """
-    docs = docs.select("doc_id", "text")
+    docs = bounded_batches(docs).select("doc_id", "text")
     length = prefix_length(similarity, recall)
     reps = materialise(representatives(docs), "reps")
     groups = components(bucket_edges(reps, length))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import crc_mod, sample_below, table
+from tallyspark.llm.common import bounded_batches, crc_mod, sample_below, table
 
 DIM = 512
 N = 3
@@ -116,7 +116,7 @@ def blocks(texts: list[str | None]) -> Iterator[slice]:
 
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """Languages by name and their unit prototypes, from the rows of (text, lang) not held out."""
-    eligible = docs.filter((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    eligible = bounded_batches(docs).filter((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = eligible.select("doc_id").count()
     if n > train_rows:
         eligible = eligible.filter(sample_below(F.col("doc_id"), train_rows / n))
@@ -170,7 +170,7 @@ def classify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataF
         none = score < 0 if names else np.ones(len(texts), bool)
         return pd.DataFrame({"lang_pred": np.where(none, UNKNOWN, np.array([*names, UNKNOWN], object)[best]), "score": np.clip(score, 0.0, 1.0)})
 
-    out = docs.select(*kept, predict("text").alias("__p"))
+    out = bounded_batches(docs).select(*kept, predict("text").alias("__p"))
     return out.select(*kept, F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
 
 

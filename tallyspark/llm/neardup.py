@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialise, sample_below, table
+from tallyspark.llm.common import bounded_batches, materialise, sample_below, table
 from tallyspark.llm.graph import components
 
 SIMILARITY = 0.95
@@ -295,7 +295,7 @@ def audited_recall(reps: DataFrame, links: DataFrame, rows: int, similarity: flo
 
 def link(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    vectors = vectors.select("vec_id", "embedding")
+    vectors = bounded_batches(vectors).select("vec_id", "embedding")
     reps = materialise(representatives(vectors), "vectors")
     rows = reps.count()
     for turn in range(ROUNDS):

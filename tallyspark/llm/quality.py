@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import checkpointed, crc_mod, sample_below, table
+from tallyspark.llm.common import bounded_batches, checkpointed, crc_mod, sample_below, table
 
 #: Bound of the labelled sample.
 TRAIN_ROWS = 20_000
@@ -127,7 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     n = known.count()
     fraction = train_rows / n if n > train_rows else 1.0
     drawn = known.filter(sample_below(F.col("doc_id"), fraction)).groupBy("doc_id").agg(F.max("y").cast("double").alias("y"))
-    texts = docs.select("doc_id", "text").filter((crc_mod(F.col("doc_id"), 5) != 0) & sample_below(F.col("doc_id"), fraction))
+    texts = bounded_batches(docs).select("doc_id", "text").filter((crc_mod(F.col("doc_id"), 5) != 0) & sample_below(F.col("doc_id"), fraction))
 
     @F.pandas_udf("array<double>")
     def measured(text: pd.Series) -> pd.Series:
@@ -186,7 +186,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(all_statistics(text.tolist())))
 
-    return docs.withColumn("score", score("text"))
+    return bounded_batches(docs).withColumn("score", score("text"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
