@@ -230,7 +230,7 @@ def heading_lines(lines: DataFrame, starts: DataFrame, most: int = 3) -> DataFra
 def samples(cells: DataFrame) -> DataFrame:
     """(doc, c, nth, text): the first values of each column, placeholders passed over, cut short."""
     rows = cells.filter(F.coalesce(F.col("text") != "", F.lit(False)) & ~F.col("text").isin(*PLACEHOLDERS))
-    nth = F.row_number().over(Window.partitionBy("doc", "c").orderBy("row"))
+    nth = F.row_number().over(Window.partitionBy("doc", "c").orderBy("row", "text"))
     return rows.withColumn("nth", nth.cast("long")).filter(F.col("nth") <= SAMPLES).select("doc", "c", "nth", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
 
 

@@ -110,7 +110,7 @@ def inf13_best_gap(spark, d):
     return _lines(spark, d).select("doc", "page", "line_no", I.best_gap(F.col("ws"), F.lit(1000), F.lit(3500)).alias("gap"))
 
 
-@query("inf14_samples", f"WITH {CELLS_SQL} SELECT doc, c::INT AS c, row_number() OVER (PARTITION BY doc, c ORDER BY row) AS nth, substr(text, 1, 24) AS text FROM cells WHERE text NOT IN ('', '-', '--', '0.00', 'NA', 'N/A') QUALIFY nth <= 3")
+@query("inf14_samples", f"WITH {CELLS_SQL} SELECT doc, c::INT AS c, row_number() OVER (PARTITION BY doc, c ORDER BY row, text) AS nth, substr(text, 1, 24) AS text FROM cells WHERE text NOT IN ('', '-', '--', '0.00', 'NA', 'N/A') QUALIFY nth <= 3")
 def inf14_samples(spark, d):
     return I.samples(cells(spark, d))
 
