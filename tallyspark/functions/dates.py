@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import normalize_space
+from tallyspark.functions.text import bound, normalize_space
 
 # fixed values: the formats tried, in order; name, as Spark reads it
 DAY_FIRST = (
@@ -58,8 +58,8 @@ def by_format(text: Column, name: str) -> Column:
 
 def parse_date(text: Column, formats=None) -> Column:
     """The first format that reads the text; null if none does."""
-    clean = normalize_space(text)
-    return F.coalesce(*[by_format(clean, f) for f in (formats or [n for n, _ in CANDIDATES])])
+    names = formats or [n for n, _ in CANDIDATES]
+    return bound(normalize_space(text), lambda clean: F.coalesce(*[by_format(clean, f) for f in names]))
 
 
 def is_date(text: Column, formats=None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import SPACE, normalize_space
+from tallyspark.functions.text import SPACE, bound, normalize_space
 
 # fixed values: marks of currency, of sign, and the form of a number
 CURRENCY = r"(?i)(?:₹|Rs\.?|INR|USD|US\$|\$)"
@@ -21,22 +21,39 @@ def parse_amount(text: Column, empty=EMPTY) -> Column:
     The suffix says CR or DR and does not change the sign; parentheses and a
     trailing minus do. Commas may stand anywhere among the digits.
     """
-    raw = normalize_space(text)
+    return bound(normalize_space(text), lambda raw: bound(_unmarked(raw), lambda clean: bound(_parts(clean), lambda parts: _amount(raw, clean, parts, empty))))
+
+
+def _unmarked(raw: Column) -> Column:
+    """Without marks of currency, and what they had pushed apart closed up."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(raw, CURRENCY, " "), SPACE + "+", " "))
     for apart, joined in (("- ", "-"), ("( ", "("), (" )", ")")):
         bare = F.replace(bare, F.lit(apart), F.lit(joined))
-    clean = F.when(raw.rlike(CURRENCY), bare).otherwise(raw)
-    nothing = raw.isin(*empty) | clean.isin(*empty) if empty else F.lit(False)
+    return F.when(raw.rlike(CURRENCY), bare).otherwise(raw)
+
+
+def _parts(clean: Column) -> Column:
+    """struct(minus, suffix, number): a trailing minus, a CR or DR, and what is left."""
     minus = clean.rlike(r"\d-$")
-    clean = F.when(minus, F.regexp_replace(clean, "-$", "")).otherwise(clean)
-    suffix = F.nullif(F.upper(F.regexp_extract(clean, SUFFIX, 1)), F.lit(""))
-    number = F.when(suffix.isNotNull(), F.trim(F.regexp_replace(clean, SUFFIX, ""))).otherwise(clean)
+    return bound(
+        F.when(minus, F.regexp_replace(clean, "-$", "")).otherwise(clean),
+        lambda rest: F.struct(minus.alias("minus"), F.nullif(F.upper(F.regexp_extract(rest, SUFFIX, 1)), F.lit("")).alias("suffix"), F.when(rest.rlike(SUFFIX), F.trim(F.regexp_replace(rest, SUFFIX, ""))).otherwise(rest).alias("number")),
+    )
+
+
+def _amount(raw: Column, clean: Column, parts: Column, empty) -> Column:
+    number = parts["number"]
+    nothing = raw.isin(*empty) | clean.isin(*empty) if empty else F.lit(False)
     good = number.rlike(NUMBER)
-    value = F.replace(F.regexp_replace(number, r"^[()]+|[()]+$", ""), F.lit(","), F.lit("")).try_cast(EXACT)
-    value = F.when((number.startswith("(") & number.endswith(")")) | minus, -value).otherwise(value)
-    ok = nothing | F.coalesce(good & value.isNotNull(), F.lit(False))
-    real = ~nothing & ok
-    return F.struct(ok.alias("ok"), F.when(real, value).alias("value"), F.when(real, suffix).alias("suffix"))
+    plain = F.replace(F.regexp_replace(number, r"^[()]+|[()]+$", ""), F.lit(","), F.lit("")).try_cast(EXACT)
+    flipped = (number.startswith("(") & number.endswith(")")) | parts["minus"]
+
+    def result(value: Column) -> Column:
+        ok = nothing | F.coalesce(good & value.isNotNull(), F.lit(False))
+        real = ~nothing & ok
+        return F.struct(ok.alias("ok"), F.when(real, F.when(flipped, -value).otherwise(value)).alias("value"), F.when(real, parts["suffix"]).alias("suffix"))
+
+    return bound(plain, result)
 
 
 def is_amount(text: Column) -> Column:

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def normalize_space(text: Column) -> Column:
     """Single blanks between words, none at the ends; null becomes empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " "))
