@@ -26,7 +26,6 @@ from tallyspark.llm.common import table
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WINDOW = 20
 
 # Priorities: 1 a grant or an identifier, 2 a phrase of scope or a notice's text, 3 a bare name.
 BASE = [
@@ -176,6 +175,29 @@ def rules() -> list[dict]:
     return out
 
 
+def _words(p: str, at: int = 0) -> tuple[int, int]:
+    """The most spaces a match of ``p`` can hold or look at, and where its group ends."""
+    most = here = last = 0
+    while at < len(p) and p[at] != ")":
+        if p.startswith("[^ ]", at):
+            last, at = 0, at + 4
+        elif p[at] == "(":
+            last, at = _words(p, at + 3)
+            here, at = here + last, at + 1
+        elif p[at] == "|":
+            most, here, last, at = max(most, here), 0, 0, at + 1
+        elif p[at] == "{":
+            end = p.index("}", at)
+            here, at = here + last * (int(p[at + 1 : end].split(",")[-1]) - 1), end + 1
+        else:
+            here, last, at = here + (p[at] == " "), int(p[at] == " "), at + 1
+    return max(most, here), at
+
+
+#: The longest match of any rule, in words, and the word behind it.
+WINDOW = max(_words(r["p"])[0] for r in rules()) + 1
+
+
 def _gate() -> str:
     """Any keyword, in a raw text: the shortest ones that the others contain."""
     keys = {r["k"] for r in rules()}

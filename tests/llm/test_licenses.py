@@ -41,6 +41,20 @@ def test_against_brute_force(spark):
     check(spark, texts)
 
 
+def test_no_rule_is_cut_by_the_window(spark, monkeypatch):
+    notice = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software"
+    texts = [notice.format(" ".join(["the", "copyright", "holder", "or", "of", "its", "owners", "x", "y"][:n])) for n in range(1, 10)]
+    texts += ["licensed under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3.0 of the license", "x " * 30 + notice.format("the copyright holder") + " released under the mit license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in L.summarised(L.scan_licenses(df)).collect()}
+    compiled = [r | {"p": re.compile(r["p"])} for r in L.rules()]
+    monkeypatch.setattr(L, "rules", lambda: compiled)
+    monkeypatch.setattr(L, "WINDOW", 10**6)
+    for i, text in enumerate(texts):
+        assert sorted((d.s, d.e, d.n) for d in rows[i].detections) == brute(text)[1], text
+    assert ["bsd-3-clause" in rows[i].labels for i in range(9)] == [True] * 8 + [False]
+
+
 def test_there_are_hundreds_of_rules_and_every_match_holds_its_keyword():
     rules = L.rules()
     assert len(rules) > 300
