@@ -6,8 +6,9 @@ the tree and writes all visible text: blocks on lines of their own with their
 spacing, lists with markers and indents, table cells in aligned columns.
 
 Not visible: head, script, style, template, frames and media fallbacks, elements
-with ``hidden``, ``display:none`` or ``visibility:hidden`` (in a style attribute
-or a simple tag, class or id rule of a style element), closed ``details`` but
+with ``hidden``, ``display:none`` or ``visibility:hidden`` by the cascade of style
+attributes and style elements (media rules as on a screen of ``SCREEN`` pixels;
+a rule that is not fully understood never hides but may show), closed ``details`` but
 for the summary, and dialogs that are not open. Form controls show their value.
 
 Neither building nor rendering recurses, so nesting may be of any depth. Each
@@ -22,6 +23,7 @@ column are replaced.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -52,11 +54,20 @@ SPACE = " \t\n\r\f"
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|$)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'])*)>|[!?/](?P<odd>[^>]*)(?:>|$))", re.S)
 _ATTR = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_SHOWS = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible", re.I)
-_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
-_SIMPLE = re.compile(r"[.#]?[A-Za-z][\w-]*\Z")
+# a sheet's tokens: strings, braces, semicolons and what is between them
+_CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]|(?:[^{};\"'\\]|\\.)+|.", re.S)
+_AT = re.compile(r"@([\w-]+)(.*)\Z", re.S)
+_IMPORTANT = re.compile(r"\s*!\s*important\s*\Z")
+_IDENT = r"(?:[\w-]|[^\x00-\x7f]|\\.)+"
+_PART = re.compile(rf"(?P<kind>[.#]?)(?P<name>{_IDENT})|(?P<all>\*)|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:\"(?P<dq>[^\"]*)\"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*[iIsS]?\s*)?\]|(?P<pseudo>::?[\w-]+)(?P<open>\()?")
+_JOIN = re.compile(r"\s*([>+~])\s*|\s+")
+_ESCAPED = re.compile(r"\\(?:([0-9a-fA-F]{1,6})\s?|(.))")
+_LENGTH = re.compile(r"\(\s*(min-|max-)?(?:device-)?(width|height)\s*:\s*(\d*\.?\d+)(px|em|rem)?\s*\)")
+_RANGE = re.compile(r"\(\s*(width|height)\s*(<=?|>=?|=)\s*(\d*\.?\d+)(px|em|rem)?\s*\)")
+# the screen that media rules are asked for
+SCREEN = {"width": 1280, "height": 800}
+FEATURES = {"(orientation:landscape)": True, "(orientation:portrait)": False, "(prefers-color-scheme:light)": True, "(prefers-color-scheme:dark)": False, "(hover:hover)": True, "(hover:none)": False, "(pointer:fine)": True, "(pointer:coarse)": False, "(prefers-reduced-motion:reduce)": False}
+AT_REST_NEVER = frozenset("hover focus focus-within focus-visible active target visited before after first-line first-letter".split())
 _RUN = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -79,7 +90,7 @@ class Builder:
         self.root = Node("html", {})
         self.open = [self.root]
         self.in_body = False
-        self.sheets: list[str] = []
+        self.sheets: list[tuple[str, str]] = []
 
     def within(self, names, stop=SCOPE) -> int:
         """The place of the nearest open element of these names, before a boundary; -1 if none."""
@@ -205,8 +216,8 @@ class Builder:
             self.open[-1].children.append(text)
 
 
-def parse(html: str) -> tuple[Node, list[str]]:
-    """The tree and the texts of its style elements."""
+def parse(html: str) -> tuple[Node, list[tuple[str, str]]]:
+    """The tree and its style elements: media and text."""
     b = Builder()
     at, n = 0, len(html)
     while at < n:
@@ -238,7 +249,7 @@ def parse(html: str) -> tuple[Node, list[str]]:
             stop = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(html, at)
             body = html[at : stop.start() if stop else n]
             if tag == "style":
-                b.sheets.append(body)
+                b.sheets.append((attrs.get("media", ""), body))
             b.open[-1].children.append(unescape(body) if tag in ESCAPED_RAW else body)
             b.open.pop()
             at = html.find(">", stop.start()) + 1 if stop else n
@@ -247,15 +258,206 @@ def parse(html: str) -> tuple[Node, list[str]]:
     return b.root, b.sheets
 
 
-def hiding_selectors(sheets: list[str]) -> frozenset[str]:
-    """Simple tag, .class and #id selectors whose rules hide."""
-    out = set()
-    for sheet in sheets:
-        if "none" in sheet or "hidden" in sheet:
-            for selectors, rules in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-                if _HIDES.search(rules):
-                    out.update(s.strip().lower() if s.strip()[:1] not in ".#" else s.strip() for s in selectors.split(",") if _SIMPLE.match(s.strip()))
-    return frozenset(out)
+def declared(text: str) -> dict[str, tuple[bool, bool]]:
+    """Of display and visibility: (important, whether it shows) as a list of declarations leaves them."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for part in text.lower().split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip(), value.strip()
+        if name not in ("display", "visibility") or not value:
+            continue
+        important = bool(_IMPORTANT.search(value))
+        value = _IMPORTANT.sub("", value)
+        if name == "visibility" and value not in ("visible", "initial", "hidden", "collapse"):
+            continue  # inherited
+        if important or not out.get(name, (False,))[0]:
+            out[name] = (important, value not in ("none", "hidden", "collapse"))
+    return out
+
+
+def _both(a: bool | None, b: bool | None) -> bool | None:
+    return False if a is False or b is False else None if a is None or b is None else True
+
+
+def _feature(text: str) -> bool | None:
+    if m := _LENGTH.fullmatch(text):
+        have, want = SCREEN[m[2]], float(m[3]) * (16 if m[4] in ("em", "rem") else 1)
+        return have >= want if m[1] == "min-" else have <= want if m[1] == "max-" else have == want
+    if m := _RANGE.fullmatch(text):
+        have, want = SCREEN[m[1]], float(m[3]) * (16 if m[4] in ("em", "rem") else 1)
+        return {"<": have < want, "<=": have <= want, ">": have > want, ">=": have >= want, "=": have == want}[m[2]]
+    return FEATURES.get(re.sub(r"\s", "", text))
+
+
+def on_screen(media: str) -> bool | None:
+    """Whether a media query list holds on ``SCREEN``; None if that is not known."""
+    out: bool | None = False
+    for query in re.sub(r"/\*.*?\*/", "", media, flags=re.S).lower().split(","):
+        query = query.strip()
+        negated = query.startswith("not ")
+        query = re.sub(r"^(?:not|only)\s+", "", query)
+        got: bool | None = True
+        for part in re.split(r"\s*\band\b\s*", query):
+            got = _both(got, True if part in ("", "all", "screen") else _feature(part) if part[0] == "(" else False if part.isalpha() else None)
+        got = not got if negated and got is not None else got
+        out = True if out or got else None if out is None or got is None else False
+    return out
+
+
+def style_rules(css: str, media: str = "") -> list[tuple[str, str, bool | None, int]]:
+    """(selectors, declarations, whether it applies or None, layered 0 or not 1) of a sheet's rules, in order."""
+    out: list = []
+    # what is open: kind, whether it applies, layer, selectors, declarations, place in the order
+    held: list[tuple] = [("at", on_screen(media), 1, "", [], 0)]
+    now: list[str] = []
+    for token in _CSS.findall(re.sub(r"/\*.*?(?:\*/|$)|<!--|-->", " ", css, flags=re.S)) + ["}"] * css.count("{"):
+        kind, applies, layer, selectors, body, place = held[-1]
+        if token == ";":
+            if kind == "style":
+                body.append("".join(now))
+            now = []
+        elif token == "{":
+            prelude, now = "".join(now).strip(), []
+            m = _AT.match(prelude)
+            name = m[1].lower() if m else ""
+            if kind == "skip" or (m and name not in ("media", "supports", "layer", "container", "scope")):
+                held.append(("skip", False, layer, "", [], 0))
+                continue
+            if m:
+                applies = _both(applies, on_screen(m[2]) if name == "media" else True if name == "layer" else None)
+                held.append((kind, applies, 0 if name == "layer" else layer, selectors, [], len(out)))
+            else:
+                # a rule within a rule: its selectors are only a part of what it asks for
+                held.append(("style", _both(applies, None) if kind == "style" else applies, layer, prelude, [], len(out)))
+            if held[-1][0] == "style":
+                out.append(None)
+        elif token == "}":
+            if kind == "style":
+                body.append("".join(now))
+                out[place] = (selectors, ";".join(body), applies, layer)
+            now = []
+            if len(held) > 1:
+                held.pop()
+        else:
+            now.append(token)
+    return [r for r in out if r]
+
+
+def chains(text: str) -> list[tuple[list[tuple[str, dict]], tuple[int, int, int], bool]]:
+    """Each selector of a list: compounds with what joins them to the one before, specificity,
+    and whether they say all of it. Those of states that a page at rest is not in are left out;
+    nothing if the list is not understood."""
+    out = []
+    text = re.sub(r"\s*,\s*", ",", text.strip())
+    at, n = 0, len(text)
+    while at <= n:
+        chain: list[tuple[str, dict]] = []
+        join, now, spec, whole, rest = "", {}, [0, 0, 0], True, True
+        while at < n and text[at] != ",":
+            if m := _JOIN.match(text, at):
+                if now:
+                    chain.append((join, now))
+                    now = {}
+                join = m[1] or " "
+                if join in "+~":
+                    chain, join, whole = [], "", False
+                at = m.end()
+                continue
+            m = _PART.match(text, at)
+            if not m:
+                return []
+            at = m.end()
+            if m["pseudo"]:
+                if m["open"]:
+                    depth = 1
+                    while at < n and depth:
+                        depth += (text[at] == "(") - (text[at] == ")")
+                        at += 1
+                name = m["pseudo"].lower()
+                rest = rest and not (name.startswith("::") or name.strip(":") in AT_REST_NEVER)
+                whole, now = False, now or {"any": True}
+                spec[1] += name != ":where"
+            elif m["attr"]:
+                op, value = m["op"] or "", m["dq"] or m["sq"] or m["bare"] or ""
+                now.setdefault("attrs", []).append((m["attr"].lower(), op, value))
+                spec[1] += 1
+            elif m["all"]:
+                now = now or {"any": True}
+            else:
+                name = _ESCAPED.sub(lambda e: chr(int(e[1], 16) if int(e[1], 16) < 0x110000 else 0xFFFD) if e[1] else e[2], m["name"])
+                now.setdefault(m["kind"] or "tag", []).append(name if m["kind"] else name.lower())
+                spec[{"#": 0, ".": 1}.get(m["kind"], 2)] += 1
+        at += 1
+        if not now:
+            return []
+        chain.append((join, now))
+        if rest:
+            out.append((chain, tuple(spec), whole))
+    return out
+
+
+_OPS = {"": lambda a, b: True, "=": lambda a, b: a == b, "~=": lambda a, b: b in a.split(), "^=": lambda a, b: bool(b) and a.startswith(b), "$=": lambda a, b: bool(b) and a.endswith(b), "*=": lambda a, b: bool(b) and b in a, "|=": lambda a, b: a == b or a.startswith(b + "-")}
+
+
+def _fits(node: Node, classes: list[str], part: dict) -> bool:
+    return (
+        all(t == node.tag for t in part.get("tag", ()))
+        and all(i == node.attrs.get("id") for i in part.get("#", ()))
+        and all(c in classes for c in part.get(".", ()))
+        and all(a in node.attrs and _OPS[op](node.attrs[a], v) for a, op, v in part.get("attrs", ()))
+    )
+
+
+class Styles:
+    """The cascade of display and visibility. A rule that may not apply never hides, but may show."""
+
+    def __init__(self, sheets: list[tuple[str, str]]):
+        # by a compound's key: (join, compound, state before it, state after it, rule or None)
+        self.by: dict[str, list[tuple]] = {}
+        states = order = 0
+        for media, sheet in sheets:
+            for selectors, body, applies, layer in style_rules(sheet, media):
+                if applies is False or not (says := declared(body)):
+                    continue
+                order += 1
+                for chain, spec, whole in chains(selectors):
+                    for k, (join, part) in enumerate(chain):
+                        key = "#" + part["#"][0] if "#" in part else "." + part["."][0] if "." in part else part["tag"][0] if "tag" in part else "*"
+                        rule = (says, layer, spec, order, whole and applies is True) if k == len(chain) - 1 else None
+                        self.by.setdefault(key, []).append((join if k else "", part, states, states + 1, rule))
+                        states += 1
+                    states += 1
+
+    def of(self, node: Node, parent: frozenset, above: frozenset) -> tuple[dict[str, bool], frozenset, frozenset]:
+        """What holds for a node, its own states, and those of it and all above."""
+        classes = node.attrs.get("class", "").split()
+        won: dict[str, tuple] = {}
+        own = []
+        if self.by:
+            keys = ["*", node.tag, *("." + c for c in dict.fromkeys(classes))]
+            if "id" in node.attrs:
+                keys.append("#" + node.attrs["id"])
+            for key in keys:
+                for join, part, before, after, rule in self.by.get(key, ()):
+                    if (join == "" or before in (parent if join == ">" else above)) and _fits(node, classes, part):
+                        if rule is None:
+                            own.append(after)
+                            continue
+                        says, layer, spec, order, sure = rule
+                        for name, (important, shows) in says.items():
+                            if shows or sure:
+                                won[name] = max(won.get(name, ()), (important, 0, layer, spec, order, shows))
+        style = node.attrs.get("style")
+        if style:
+            for name, (important, shows) in declared(style).items():
+                won[name] = max(won.get(name, ()), (important, 1, 1, (0, 0, 0), 0, shows))
+        mine = frozenset(own)
+        return {name: w[-1] for name, w in won.items()}, mine, above | mine if mine - above else above
+
+
+@lru_cache(maxsize=64)
+def styles(sheets: tuple[tuple[str, str], ...]) -> Styles:
+    return Styles([x for x in sheets if "display" in x[1].lower() or "visibility" in x[1].lower()])
 
 
 class Writer:
@@ -385,19 +587,14 @@ def _number(text: str | None, default: int, least: int, most: int) -> int:
     return max(least, min(most, int(m[1]))) if m else default
 
 
-def _hidden(node: Node, selectors: frozenset[str]) -> bool:
+def _hidden(node: Node) -> bool:
     tag, attrs = node.tag, node.attrs
     if tag in HIDDEN or (tag == "dialog" and "open" not in attrs) or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
         return True
-    if attrs:
-        if "hidden" in attrs or _GONE.search(attrs.get("style", "")):
-            return True
-        if selectors and ("#" + attrs.get("id", "") in selectors or any("." + c in selectors for c in attrs.get("class", "").split())):
-            return True
-    return bool(selectors) and tag in selectors
+    return "hidden" in attrs
 
 
-def render(root: Node, selectors: frozenset[str] = frozenset()) -> str:
+def render(root: Node, sheet: Styles) -> str:
     writers, grids, counters = [Writer()], [], []
     # (node, iterator over its children, what to do at its end); invisible: how many open elements hide text
     stack: list[tuple] = []
@@ -405,14 +602,17 @@ def render(root: Node, selectors: frozenset[str] = frozenset()) -> str:
 
     def enter(node: Node) -> bool:
         nonlocal dark, pre
-        if _hidden(node, selectors):
+        if _hidden(node):
+            return False
+        parent, above = stack[-1][4:] if stack else (frozenset(), frozenset())
+        holds, own, above = sheet.of(node, parent, above)
+        if not holds.get("display", True):
             return False
         w, tag, attrs = writers[-1], node.tag, node.attrs
-        style = attrs.get("style", "")
         shade = 0
-        if style and _HIDES.search(style):
+        if not holds.get("visibility", True):
             shade = 1
-        elif style and dark and _SHOWS.search(style):
+        elif dark and "visibility" in holds:
             shade = -dark
         dark += shade
         if tag == "br":
@@ -456,7 +656,7 @@ def render(root: Node, selectors: frozenset[str] = frozenset()) -> str:
                 inner = 1
         if tag in ("pre", "textarea", "xmp"):
             pre += 1
-        stack.append((node, iter(kids), shade, inner))
+        stack.append((node, iter(kids), shade, inner, own, above))
         return True
 
     def leave(node: Node, shade: int, inner: int) -> None:
@@ -484,7 +684,7 @@ def render(root: Node, selectors: frozenset[str] = frozenset()) -> str:
 
     enter(root)
     while stack:
-        node, kids, shade, inner = stack[-1]
+        node, kids, shade, inner = stack[-1][:4]
         for child in kids:
             if isinstance(child, Node):
                 if enter(child):
@@ -501,7 +701,7 @@ def page_text(html: str | None) -> str:
     if not isinstance(html, str) or not html:
         return ""
     root, sheets = parse(html)
-    return render(root, hiding_selectors(sheets))
+    return render(root, styles(tuple(sheets)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

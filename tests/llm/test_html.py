@@ -30,6 +30,27 @@ def test_pages(html, text):
     assert page_text(html) == text
 
 
+SHEETS = [
+    ("<style>@media print { .side, nav { display: none } }</style><nav>n</nav><p class=side>s", "n\n\ns"),
+    ("<style>.a , .b{display:none}</style><p class=a>no<p class=b>no<p>yes", "yes"),
+    ("<style media=print>p{display:none}</style><p>yes", "yes"),
+    ("<style>@media (max-width:600px){p{display:none}} @media screen and (min-width:40em){div{display:none}}</style><p>yes<div>no</div>", "yes"),
+    ("<style>.tab{display:none}.tab.active{display:block}</style><p class=tab>no<p class='tab active'>yes", "yes"),
+    ("<style>p{display:none}main > p{display:block}</style><main><p>yes</p><div><p>no</p></div></main>", "yes"),
+    ("<style>.n{display:none}div .n.b:nth-child(1){display:flex}</style><p class='n b'>no</p><div><p class='n b'>yes</div>", "yes"),
+    ("<style>.n{display:block}.n{display:none}.m{display:none}.m{display:block}</style><p class=n>no<p class=m>yes", "yes"),
+    ("<style>.n{display:none!important}#i{display:block}</style><p class=n id=i style='display:block'>no</p>yes", "yes"),
+    ("<style>ul ul{display:none}li:hover ul{display:block}</style><ul><li>yes<ul><li>no</ul></ul>", "* yes"),
+    ("<style>@keyframes k{from{display:none}p{display:none}} @import 'x{';b{visibility:hidden}b i{visibility:visible}</style><p>a<b>no<i>yes</i></b>", "ayes"),
+    ("<style>@supports (x:y){p{display:none}}@layer a{.x.x.x{display:none}} .x{display:block} .md\\:n{display:none}</style><p class=x>yes<p class=md:n>no", "yes"),
+]
+
+
+@pytest.mark.parametrize("html,text", SHEETS)
+def test_sheets(html, text):
+    assert page_text(html) == text
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_every_visible_word_is_there_in_order(spark):
     for r in extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect():
