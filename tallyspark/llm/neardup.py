@@ -8,9 +8,9 @@ from the shard's medoid towards it, and from what that finds (and from its own
 place, as it stands in the graph) the range is expanded over all neighbours
 that are near enough. What is found is verified in double precision; a pair
 that two shards hold counts in the first. Shards return one row per vector, not
-pairs. A sample of vectors is then compared with all rows; if fewer than
-``AUDIT_RECALL`` of its links were found, the search is repeated with more
-overlap.
+pairs. A sample of vectors is then compared with all rows; if of vectors with
+about as many links fewer than ``AUDIT_RECALL`` were found, the search is
+repeated with the shards of more sets of centres, besides those there were.
 
 A shard of more than ``MAX_SHARD`` vectors is searched as pairs of blocks, so no
 task holds more; its work grows with the square of its size, as the links of
@@ -44,7 +44,9 @@ APART = 0.8
 DEGREE, POOL, FAR = 24, 48, 8
 ALPHA = 1.2
 BEAM = 24
-AUDIT_ROWS, AUDIT_RECALL, ROUNDS = 500, 0.97, 3
+AUDIT_ROWS, AUDIT_RECALL = 2000, 0.97
+#: Independent sets of centres by round; a vector is in OVERLAP shards of each set.
+SETS = (1, 3, 6, 12)
 
 
 def _sound(v) -> bool:
@@ -161,21 +163,21 @@ def centres(reps: DataFrame, rows: int, seed: int) -> dict[int, np.ndarray]:
     return {k: np.stack(v) for k, v in by.items()}
 
 
-def assigned(reps: DataFrame, found: dict[int, np.ndarray], overlap: int) -> DataFrame:
-    """k, n, embedding and the shards of each vector (a vector length without centres is one shard)."""
+def assigned(reps: DataFrame, sets: list[dict[int, np.ndarray]]) -> DataFrame:
+    """k, n, embedding and the shards of each vector in all sets (a vector length without centres is one shard)."""
 
     @F.pandas_udf("array<long>")
     def shards(v: pd.Series) -> pd.Series:
         out = []
         for x in v:
-            c = found.get(len(x))
             base = len(x) << 32
-            if c is None:
-                out.append([base])
-                continue
-            s = c @ unit([x])[0]
-            top = np.argsort(-s, kind="stable")[:overlap]
-            out.append(sorted(base + int(t) for t in top))
+            own = set()
+            for at, found in enumerate(sets):
+                c = found.get(len(x))
+                if c is not None:
+                    top = np.argsort(-(c @ unit([x])[0]), kind="stable")[:OVERLAP]
+                    own.update(base + at * MAX_CENTRES + int(t) for t in top)
+            out.append(sorted(own or {base}))
         return pd.Series(out, dtype=object)
 
     return reps.select("k", "n", "embedding", shards("embedding").alias("shards"))
@@ -267,7 +269,8 @@ def found_links(places: DataFrame, lists: DataFrame, similarity: float) -> DataF
 
 
 def audited_recall(reps: DataFrame, links: DataFrame, rows: int, similarity: float) -> float:
-    """Share of the links of a bounded sample that were found, against all rows."""
+    """The least recall of a bounded sample against all rows: the mean over the vectors of each
+    order of magnitude of links, so that a large group does not cover up for the others."""
     sample = reps.filter(sample_below(F.col("k"), AUDIT_ROWS / max(rows, 1))).select("k", "embedding", "n").limit(4 * AUDIT_ROWS).collect()
     if not sample:
         return 1.0
@@ -289,8 +292,11 @@ def audited_recall(reps: DataFrame, links: DataFrame, rows: int, similarity: flo
     expected = {r["a"]: r["true"] - sample[r["a"]]["n"] for r in true}
     keys = reps.sparkSession.createDataFrame([(a, bytes(r["k"])) for a, r in enumerate(sample)], "a int, k binary")
     got = {r["a"]: r["links"] for r in links.join(F.broadcast(keys), "k").select("a", "links").collect()}
-    whole = sum(expected.values())
-    return sum(min(got.get(a, 0), n) for a, n in expected.items()) / whole if whole else 1.0
+    strata: dict[int, list[float]] = {}
+    for a, n in expected.items():
+        if n > 0:
+            strata.setdefault(len(str(n)), []).append(min(got.get(a, 0), n) / n)
+    return min((sum(s) / len(s) for s in strata.values()), default=1.0)
 
 
 def link(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -298,8 +304,10 @@ def link(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     vectors = bounded_batches(vectors).select("vec_id", "embedding")
     reps = materialise(representatives(vectors), "vectors")
     rows = reps.count()
-    for turn in range(ROUNDS):
-        places = materialise(placed(assigned(reps, centres(reps, rows, turn), OVERLAP + turn)), "places")
+    sets: list[dict[int, np.ndarray]] = []
+    for many in SETS:
+        sets += [centres(reps, rows, seed) for seed in range(len(sets), many)]
+        places = materialise(placed(assigned(reps, sets)), "places")
         lists = shard_graphs(places).groupBy("k").agg(F.collect_list("near").alias("lists"))
         found = materialise(found_links(places, lists, similarity), "found")
         links = found.groupBy("k").agg(F.sum("links").alias("links"))

@@ -99,5 +99,16 @@ def test_vectors_equal_all_pairs(spark, monkeypatch, limit):
     assert got[None].n_links == linked[len(x)].sum()
 
 
+def test_the_audit_sees_lost_links_beside_a_large_group(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 32))
+    x = [*(base[0] + rng.normal(size=(300, 32)) * 0.01), *base[1:], *(base[1:] + 0.01)]
+    reps = spark.createDataFrame([(bytes([i // 256, i % 256]), list(map(float, v)), 1) for i, v in enumerate(x)], "k binary, embedding array<double>, n long")
+    links = spark.createDataFrame([(bytes([i // 256, i % 256]), 299) for i in range(300)], "k binary, links long")
+    assert E.audited_recall(reps, links, len(x), 0.95) == 0
+    both = links.unionByName(spark.createDataFrame([(bytes([i // 256, i % 256]), 1) for i in range(300, len(x))], "k binary, links long"))
+    assert E.audited_recall(reps, both, len(x), 0.95) == 1
+
+
 def test_no_vectors(spark):
     assert E.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
