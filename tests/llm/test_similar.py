@@ -110,5 +110,20 @@ def test_the_audit_sees_lost_links_beside_a_large_group(spark):
     assert E.audited_recall(reps, both, len(x), 0.95) == 1
 
 
+def test_a_recall_that_stays_too_low_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(E, "audited_recall", lambda *a: 0.5)
+    with pytest.raises(RuntimeError, match="0.500"):
+        E.link(spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<double>"))
+
+
+def test_a_pair_that_the_first_shard_misses_counts_once(spark, monkeypatch):
+    monkeypatch.setattr(E, "search", lambda x, graph, start, a, similarity: np.zeros(0, int))
+    v = [[1.0, 0.0], [1.0, 0.01]]
+    places = spark.createDataFrame([(s, 0, 0, bytes([i]), 1, 0, v[i], [5, 9], [bytes([1 - i]) * 16]) for s in (5, 9) for i in (0, 1)], "shard long, i int, j int, k binary, n long, block int, embedding array<double>, shards array<long>, lists array<binary>")
+    lists = places.select("k", "lists").distinct()
+    got = E.found_links(places.drop("lists"), lists, 0.95).groupBy("k").sum("links").collect()
+    assert sorted(r[1] for r in got) == [1, 1]
+
+
 def test_no_vectors(spark):
     assert E.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
