@@ -11,8 +11,9 @@ attributes and style elements (media rules as on a screen of ``SCREEN`` pixels;
 a rule that is not fully understood never hides but may show), closed ``details`` but
 for the summary, and dialogs that are not open. Form controls show their value.
 
-Neither building nor rendering recurses, so nesting may be of any depth. Each
-page is done by itself in one narrow pass, in whole.
+Neither building nor rendering recurses or walks over the open elements, and the
+scanner has one way to read a text, so the time of a page grows with its length,
+whatever its nesting. Each page is done by itself in one narrow pass, in whole.
 
 Defined cases: a null or empty page gives the empty text; text without tags is
 kept as it is, with white space collapsed; an unfinished tag or comment at the
@@ -51,9 +52,14 @@ CELLS = frozenset(("td", "th"))
 PARTS = frozenset(("tbody", "thead", "tfoot"))
 LISTS = frozenset("ul ol menu dir".split())
 SPACE = " \t\n\r\f"
-
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|$)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'])*)>|[!?/](?P<odd>[^>]*)(?:>|$))", re.S)
-_ATTR = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+#: Levels of lists and quotations that are indented; deeper ones stand under the last of them.
+DEEPEST = 64
+
+# Each character of a page is read once or twice: no pattern here has two ways to read a text.
+_COMMENT_END = re.compile(r"--!?>")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_NEXT_ATTR = re.compile(r"[\s/]*+(?:(>)|(=?+[^\s/>=]*+)(\s*+=\s*+)?+([\"'])?+)")
+_BARE = re.compile(r"[^\s>]*+")
 # a sheet's tokens: strings, braces, semicolons and what is between them
 _CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]|(?:[^{};\"'\\]|\\.)+|.", re.S)
 _AT = re.compile(r"@([\w-]+)(.*)\Z", re.S)
@@ -78,45 +84,73 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-def _attrs(rest: str) -> dict[str, str]:
+def attributes(html: str, at: int, missing: set[str]) -> tuple[dict[str, str], int]:
+    """A tag's attributes from behind its name, and the place behind its ``>``; -1 if the page ends first.
+
+    ``missing``: quotes that do not come again in this page; a value that opens with one is bare.
+    """
     out: dict[str, str] = {}
-    for name, a, b, c in _ATTR.findall(rest):
-        out.setdefault(name.lower(), unescape(a or b or c))
-    return out
+    while True:
+        m = _NEXT_ATTR.match(html, at)
+        if m[1]:
+            return out, m.end()
+        name, quote, at = m[2], m[4], m.end()
+        if not quote and not name and m[3] is None:
+            return out, -1
+        if quote and quote not in missing:
+            end = html.find(quote, at)
+            if end >= 0:
+                value, at = html[at:end], end + 1
+            else:
+                missing.add(quote)
+        if m[3] is not None and (not quote or quote in missing):
+            bare = _BARE.match(html, m.end(3))
+            value, at = bare[0], bare.end()
+        if name:
+            out.setdefault(name.lower(), unescape(value) if m[3] is not None else "")
 
 
 class Builder:
     def __init__(self):
         self.root = Node("html", {})
         self.open = [self.root]
+        # where the open elements of each name stand, so that looking for one does not walk over the others
+        self.places: dict[str, list[int]] = {"html": [0]}
         self.in_body = False
         self.sheets: list[tuple[str, str]] = []
 
+    def last(self, names) -> int:
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=-1)
+
+    def add(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close all elements from this place on."""
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
     def within(self, names, stop=SCOPE) -> int:
         """The place of the nearest open element of these names, before a boundary; -1 if none."""
-        for at in range(len(self.open) - 1, -1, -1):
-            tag = self.open[at].tag
-            if tag in names:
-                return at
-            if tag in stop:
-                return -1
-        return -1
+        at = self.last(names)
+        return at if at < 0 or at >= self.last(stop) else -1
 
     def close(self, names, stop=SCOPE) -> bool:
         at = self.within(names, stop)
         if at > 0:
-            del self.open[at:]
+            self.cut(at)
         return at > 0
 
     def push(self, tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        self.open.append(node)
+        self.add(node)
         return node
 
     def body(self) -> None:
         if not self.in_body:
-            del self.open[1:]
+            self.cut(1)
             self.push("body", {})
             self.in_body = True
 
@@ -143,7 +177,7 @@ class Builder:
         if tag in CLOSES_P:
             self.close(("p",))
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if tag == "li":
             self.close(("li",), SCOPE | LISTS)
         elif tag in ("dd", "dt"):
@@ -157,8 +191,7 @@ class Builder:
             if at < 0:
                 return
             held = {"tr": ("tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",)}.get(tag, ())
-            while len(self.open) - 1 > at and self.open[-1].tag not in held:
-                self.open.pop()
+            self.cut(max(at, self.last(held)) + 1)
             if tag in ("tr", "td", "th") and self.open[-1].tag == "table":
                 self.push("tbody", {})
             if tag in CELLS and self.open[-1].tag != "tr":
@@ -168,11 +201,11 @@ class Builder:
                 node = Node(tag, attrs)
                 self.foster(node)
                 if tag not in VOID and not closed:
-                    self.open.append(node)
+                    self.add(node)
                 return
         self.push(tag, attrs)
         if tag in VOID or (closed and tag in ("path", "circle", "rect", "line", "use", "polygon", "image")):
-            self.open.pop()
+            self.cut(len(self.open) - 1)
 
     def foster(self, item) -> None:
         """What may not stand in a table goes before it."""
@@ -193,7 +226,7 @@ class Builder:
         elif tag == "p":
             if not self.close(("p",)):
                 self.start("p", {}, False)
-                self.open.pop()
+                self.cut(len(self.open) - 1)
         elif tag in HEADINGS:
             self.close(HEADINGS)
         elif tag in CELLS or tag in PARTS or tag in ("tr", "table", "caption"):
@@ -219,6 +252,7 @@ class Builder:
 def parse(html: str) -> tuple[Node, list[tuple[str, str]]]:
     """The tree and its style elements: media and text."""
     b = Builder()
+    missing: set[str] = set()
     at, n = 0, len(html)
     while at < n:
         lt = html.find("<", at)
@@ -227,31 +261,33 @@ def parse(html: str) -> tuple[Node, list[tuple[str, str]]]:
             break
         if lt > at:
             b.text(unescape(html[at:lt]))
-        m = _TAG.match(html, lt)
+        end = html.startswith("</", lt)
+        m = _NAME.match(html, lt + 1 + end)
         if not m:
-            nxt = html[lt + 1 : lt + 2]
-            if nxt.isalpha() or nxt in ("/", "!", "?"):
-                break  # an unfinished tag
-            b.text("<")
-            at = lt + 1
-            continue
-        at = m.end()
-        if m["name"] is None:
+            if html.startswith("<!--", lt):
+                close = _COMMENT_END.search(html, lt + 4)
+                at = close.end() if close else n
+            elif end or html.startswith(("<!", "<?"), lt):
+                at = html.find(">", lt) + 1 or n
+            else:
+                b.text("<")
+                at = lt + 1
             continue
-        tag = m["name"].lower()
-        if m["end"]:
+        attrs, at = attributes(html, m.end(), missing)
+        if at < 0:
+            break  # an unfinished tag
+        tag = m[0].lower()
+        if end:
             b.end(tag)
             continue
-        rest = m["rest"]
-        attrs = _attrs(rest) if rest and rest.strip(SPACE + "/") else {}
-        b.start(tag, attrs, rest.endswith("/"))
+        b.start(tag, attrs, html[at - 2] == "/")
         if (tag in RAW or tag in ESCAPED_RAW) and b.open[-1].tag == tag:
             stop = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(html, at)
             body = html[at : stop.start() if stop else n]
             if tag == "style":
                 b.sheets.append((attrs.get("media", ""), body))
             b.open[-1].children.append(unescape(body) if tag in ESCAPED_RAW else body)
-            b.open.pop()
+            b.cut(len(b.open) - 1)
             at = html.find(">", stop.start()) + 1 if stop else n
             if at == 0:
                 break
@@ -430,6 +466,8 @@ class Styles:
 
     def of(self, node: Node, parent: frozenset, above: frozenset) -> tuple[dict[str, bool], frozenset, frozenset]:
         """What holds for a node, its own states, and those of it and all above."""
+        if not self.by and "style" not in node.attrs:
+            return {}, frozenset(), above
         classes = node.attrs.get("class", "").split()
         won: dict[str, tuple] = {}
         own = []
@@ -471,14 +509,18 @@ class Writer:
         self.indents: list[str] = []
         self.marker = ""
 
+    def indent(self, text: str) -> None:
+        """What a list or a quotation adds in front of its lines; from ``DEEPEST`` levels on nothing."""
+        self.indents.append(text if len(self.indents) < DEEPEST else "")
+
     def word(self, text: str) -> None:
         if not self.now:
             if self.lines and self.gap > 1 and self.lines[-1] != "":
                 self.lines.append("")
             self.gap = 0
-            lead = "".join(self.indents)
+            lead = "".join(self.indents[:DEEPEST])
             if self.marker:
-                lead = lead[: len(lead) - len(self.marker)] + self.marker
+                lead = lead[: max(len(lead) - len(self.marker), 0)] + self.marker if len(self.indents) <= DEEPEST else lead + self.marker
                 self.marker = ""
             self.now.append(lead)
         elif self.space:
@@ -648,11 +690,11 @@ def render(root: Node, sheet: Styles) -> str:
                     count[0] = _number(attrs.get("value"), count[0], -(10**9), 10**9)
                     mark = f"{count[0]}. "
                     count[0] += count[1]
-                w.indents.append(" " * len(mark))
+                w.indent(" " * len(mark))
                 w.marker = mark
                 inner = 1
             elif tag in ("blockquote", "dd"):
-                w.indents.append("    ")
+                w.indent("    ")
                 inner = 1
         if tag in ("pre", "textarea", "xmp"):
             pre += 1

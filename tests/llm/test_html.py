@@ -1,10 +1,12 @@
 import os
+import random
 import re
+import time
 from html import unescape
 
 import pytest
 
-from tallyspark.llm.htmltext import extract, page_text
+from tallyspark.llm.htmltext import attributes, extract, page_text
 
 CASES = [
     ("<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>after", "* a\n* b\n  3. x\n  4. y\n* c\n\nafter"),
@@ -51,6 +53,59 @@ def test_sheets(html, text):
     assert page_text(html) == text
 
 
+def slow_attributes(text):
+    """Attribute by attribute, character by character."""
+    out, at = {}, 0
+    while True:
+        while at < len(text) and text[at] in " \n/":
+            at += 1
+        if at == len(text):
+            return out, -1
+        if text[at] == ">":
+            return out, at + 1
+        name = text[at] if text[at] == "=" else ""
+        at += len(name)
+        while at < len(text) and text[at] not in " \n/>=":
+            name, at = name + text[at], at + 1
+        on = at
+        while on < len(text) and text[on] in " \n":
+            on += 1
+        value = ""
+        if on < len(text) and text[on] == "=":
+            at = on + 1
+            while at < len(text) and text[at] in " \n":
+                at += 1
+            if at < len(text) and text[at] in "\"'" and text[at] in text[at + 1 :]:
+                end = text.index(text[at], at + 1)
+                value, at = text[at + 1 : end], end + 1
+            else:
+                while at < len(text) and text[at] not in " \n>":
+                    value, at = value + text[at], at + 1
+        out.setdefault(name.lower(), unescape(value))
+
+
+def test_attributes_against_a_slow_reading():
+    rng = random.Random(1)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "B", "=", '"', "'", " ", "\n", "/", "&lt;", ">"]) for _ in range(rng.randrange(14)))
+        assert attributes(text, 0, set()) == slow_attributes(text), text
+
+
+HARD = ["<a " + 'x="y" ' * 10_000, "<div>" * 100_000 + "deep", "<ul><li>" * 30_000 + "x", "<b>x<p>" * 30_000, "<table><tr><td>" * 10_000 + "x", "<p x='" * 50_000, "<i>" * 50_000 + "</b>" * 50_000, "<table>a" * 20_000, "<a " + "=\"'" * 50_000 + ">"]
+
+
+@pytest.mark.parametrize("k", range(len(HARD)))
+def test_hard_pages_take_time_by_their_length(k):
+    start = time.time()
+    page_text(HARD[k])
+    assert time.time() - start < 10
+
+
+def test_a_cut_off_tag_is_dropped():
+    assert page_text("seen<a " + 'x="y" ' * 40) == "seen"
+    assert page_text("seen<a href='x>lost</a>") == "seenlost"
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_every_visible_word_is_there_in_order(spark):
     for r in extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect():
