@@ -14,7 +14,9 @@ a hash of doc_id from those whose crc32(doc_id) mod 3 is not 1; each partition
 sends one summed vector per language. Prediction reads all documents and moves
 none.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; a
+Defined cases: a text that is null or has no letter is ``und`` with score 0, and
+only such a text: one unlike all prototypes gets the nearest, with a score down
+to 0; a text of more than ``BLOCK_CHARS`` characters is the sum of its parts; a
 null language teaches nothing; with nothing to learn from all texts are
 ``und``; equal cosines go to the first language by name; a null doc_id is not
 held out and teaches nothing; repeated rows give repeated rows.
@@ -37,8 +39,8 @@ N = 3
 SEED = 20240101
 #: Bound of the labelled sample that prototypes are learned from.
 TRAIN_ROWS = 20_000
-#: Texts in one block of the matrix product, and characters at most before a block is closed.
-BLOCK_ROWS, BLOCK_CHARS = 128, 2_000_000
+#: Texts in one block of the matrix product, characters at most before a block is closed, and n-grams bound at a time.
+BLOCK_ROWS, BLOCK_CHARS, GRAMS = 128, 2_000_000, 8_192
 UNKNOWN = "und"
 
 
@@ -65,51 +67,85 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return joined[keep], owner[keep]
 
 
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(points, grams, counts): distinct n-grams as rows of indexes into points, and texts x grams counts."""
+def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(points, codes, owners): the distinct letters, and every n-gram in order as a number over them with its text."""
     points, owner = _codes(texts)
     if len(points) < N:
-        return np.zeros(0, np.uint32), np.zeros((0, N), np.int64), np.zeros((len(texts), 0), np.float32)
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     known, at = np.unique(points, return_inverse=True)
     a = len(known)
     at = at.astype(np.int64)
-    code = at[:-2] * a * a + at[1:-1] * a + at[2:]
     # an n-gram belongs to the text of its middle letter; breaks in the middle say nothing
     middle = points[1:-1] != 0
-    code, own = code[middle], owner[1:-1][middle]
-    if a**3 <= 8_000_000:
-        seen = np.zeros(a**3, bool)
-        seen[code] = True
-        grams = np.flatnonzero(seen)
-        place = np.zeros(a**3, np.int32)
-        place[grams] = np.arange(len(grams))
-        inverse = place[code]
-    else:
-        grams, inverse = np.unique(code, return_inverse=True)
-    counts = np.bincount(own * max(len(grams), 1) + inverse, minlength=len(texts) * len(grams)).reshape(len(texts), len(grams)).astype(np.float32)
-    return known, np.stack([grams // (a * a), grams // a % a, grams % a], 1), counts
+    return known, (at[:-2] * a * a + at[1:-1] * a + at[2:])[middle], owner[1:-1][middle]
 
 
-def text_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
-    """One bundled vector per text; zero where it has no letter."""
-    points, grams, counts = gram_counts(texts)
-    if not len(grams):
-        return np.zeros((len(texts), dim), np.float32)
-    base = letter_vectors(points, dim)
-    bound = np.ones((len(grams), dim), np.int8)
-    for place in range(N):
-        bound *= np.roll(base, N - 1 - place, axis=1)[grams[:, place]]
-    return counts @ bound.astype(np.float32)
+def _numbered(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, and each code's place among them."""
+    if most > 8_000_000:
+        return np.unique(codes, return_inverse=True)
+    seen = np.zeros(most, bool)
+    seen[codes] = True
+    grams = np.flatnonzero(seen)
+    place = np.zeros(most, np.int32)
+    place[grams] = np.arange(len(grams), dtype=np.int32)
+    return grams, place[codes]
 
 
-def blocks(texts: list[str | None]) -> Iterator[slice]:
+def text_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """One bundled vector per text; zero where it has no letter.
+
+    At most ``GRAMS`` distinct n-grams are bound at a time, so memory does not grow with an alphabet.
+    """
+    points, codes, owner = gram_codes(texts)
+    out = np.zeros((len(texts), dim), np.float32)
+    if not len(codes):
+        return out
+    a = len(points)
+    grams, place = _numbered(codes, a**3)
+    base = letter_vectors(points, dim)
+    turned = [np.roll(base, N - 1 - k, axis=1) for k in range(N)]
+    if len(grams) > GRAMS:
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+    for start in range(0, len(grams), GRAMS):
+        some = grams[start : start + GRAMS]
+        inside = slice(*np.searchsorted(place, [start, start + GRAMS])) if len(grams) > GRAMS else slice(None)
+        counts = np.bincount(owner[inside] * len(some) + (place[inside] - start), minlength=len(texts) * len(some)).reshape(len(texts), len(some))
+        bound = turned[0][some // (a * a)] * turned[1][some // a % a] * turned[2][some % a]
+        out += counts.astype(np.float32) @ bound.astype(np.float32)
+    return out
+
+
+def pieces(text: str) -> list[str]:
+    """A very long text in parts of at most ``BLOCK_CHARS``, cut at blanks where there are any."""
+    out, at = [], 0
+    while len(text) - at > BLOCK_CHARS:
+        cut = text.rfind(" ", at + BLOCK_CHARS // 2, at + BLOCK_CHARS)
+        cut = cut if cut > 0 else at + BLOCK_CHARS
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+def vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """``text_vectors`` in blocks of bounded size."""
+    out = np.zeros((len(texts), dim), np.float32)
+    for s in blocks(texts):
+        if s.stop - s.start == 1:
+            out[s] = sum(text_vectors([p], dim) for p in pieces(texts[s.start]))
+        else:
+            out[s] = text_vectors(texts[s], dim)
+    return out
+
+
+def blocks(texts: list[str]) -> Iterator[slice]:
     at, chars = 0, 0
     for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > at and (i - at >= BLOCK_ROWS or chars + n > BLOCK_CHARS):
+        if i > at and (i - at >= BLOCK_ROWS or chars + len(t) > BLOCK_CHARS):
             yield slice(at, i)
             at, chars = i, 0
-        chars += n
+        chars += len(t)
     if at < len(texts):
         yield slice(at, len(texts))
 
@@ -124,13 +160,11 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = DIM) -> tupl
     def summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for part in parts:
-            texts, langs = part["text"].tolist(), part["lang"].tolist()
-            for s in blocks(texts):
-                rows = text_vectors(texts[s], dim).astype(np.float64)
-                norm = np.linalg.norm(rows, axis=1, keepdims=True)
-                rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-                for lang, row in zip(langs[s], rows, strict=True):
-                    total[lang] = total.get(lang, 0) + row
+            rows = vectors(part["text"].tolist(), dim).astype(np.float64)
+            norm = np.linalg.norm(rows, axis=1, keepdims=True)
+            rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+            for lang, row in zip(part["lang"], rows, strict=True):
+                total[lang] = total.get(lang, 0) + row
         if total:
             yield pd.DataFrame({"lang": list(total), "v": [list(v) for v in total.values()]})
 
@@ -159,16 +193,16 @@ def classify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataF
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def predict(text: pd.Series) -> pd.DataFrame:
         texts = [t if isinstance(t, str) else "" for t in text.tolist()]
-        best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+        best, score, lettered = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if names:
-            for s in blocks(texts):
-                rows = text_vectors(texts[s], dim)
-                norm = np.linalg.norm(rows, axis=1)
-                near = np.round(rows.astype(np.float64) @ prototypes.T, 6)
-                best[s] = near.argmax(1)
-                score[s] = np.where(norm > 0, near.max(1) / np.maximum(norm, 1e-12), -1.0)
-        none = score < 0 if names else np.ones(len(texts), bool)
-        return pd.DataFrame({"lang_pred": np.where(none, UNKNOWN, np.array([*names, UNKNOWN], object)[best]), "score": np.clip(score, 0.0, 1.0)})
+            rows = vectors(texts, dim).astype(np.float64)
+            norm = np.linalg.norm(rows, axis=1)
+            near = np.round(rows @ prototypes.T, 6)
+            best, lettered = near.argmax(1), norm > 0
+            score = np.where(lettered, near.max(1) / np.maximum(norm, 1e-12), 0.0)
+        # a letter whose vectors cancel out is a letter all the same
+        lettered |= [bool(names) and not ok and any(map(str.isalpha, t.lower())) for ok, t in zip(lettered, texts, strict=True)]
+        return pd.DataFrame({"lang_pred": np.where(lettered, np.array([*names, UNKNOWN], object)[best], UNKNOWN), "score": np.clip(score, 0.0, 1.0)})
 
     out = bounded_batches(docs).select(*kept, predict("text").alias("__p"))
     return out.select(*kept, F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))

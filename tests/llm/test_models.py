@@ -38,6 +38,55 @@ def test_vectors_are_bound_and_bundled():
         assert np.array_equal(got, want)
 
 
+def test_predictions_against_slow_ones(spark):
+    rows = made(200, 5)
+    names, prototypes = L.learn(documents(spark, rows))
+    learned = {}
+    for i, text, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            v = L.text_vectors([text])[0].astype(float)
+            learned[lang] = learned.get(lang, 0) + v / np.linalg.norm(v)
+    assert names == sorted(learned)
+    for k, name in enumerate(names):
+        assert np.allclose(prototypes[k], learned[name] / np.linalg.norm(learned[name]), atol=1e-6)
+    for r in L.classify(documents(spark, rows), names, prototypes).collect():
+        v = L.text_vectors([r.text])[0].astype(float)
+        near = [v @ prototypes[k] / np.linalg.norm(v) for k in range(len(names))]
+        assert r.lang_pred == names[int(np.argmax(near))] and abs(r.score - max(0.0, max(near))) < 1e-6
+
+
+def test_an_alphabet_that_was_not_learned_is_not_und(spark):
+    rng = random.Random(3)
+    names, prototypes = L.learn(documents(spark, made(300)))
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(rng.randrange(1, 30))) for _ in range(150)] + ["привет " * k for k in range(1, 20)]
+    rows = L.classify(documents(spark, [(i, t, None, None) for i, t in enumerate(texts)]), names, prototypes).collect()
+    assert all(r.lang_pred in names and 0.0 <= r.score < 0.25 for r in rows)
+    assert min(r.score for r in rows) == 0.0
+
+
+def test_grams_in_pieces_and_long_texts(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(400)) for _ in range(5)] + [made(1, 2)[0][1]]
+    whole = L.vectors(texts)
+    monkeypatch.setattr(L, "GRAMS", 50)
+    assert np.array_equal(L.vectors(texts), whole)
+    monkeypatch.setattr(L, "BLOCK_CHARS", 60)
+    spaced = [" ".join(t[k : k + 7] for k in range(0, len(t), 7)) for t in texts]
+    assert all(len(p) <= 60 for t in spaced for p in L.pieces(t)) and "".join(L.pieces(spaced[0])) == spaced[0]
+    assert np.array_equal(L.vectors(spaced), L.text_vectors(spaced))
+
+
+def test_a_block_of_han_letters_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x6000, 400_000)))
+    tracemalloc.start()
+    L.vectors([text])
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
 def test_languages_of_held_out_rows(spark):
     df = documents(spark, made(600), clash=True).drop("score", "lang_pred")
     rows = L.identify(df).collect()
