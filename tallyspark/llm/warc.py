@@ -2,14 +2,17 @@
 
 An archive is two tables in one folder. ``payloads`` holds every distinct
 payload once under its SHA-256; ``headers`` holds each record's exact header
-block and the SHA-256 of the payload it speaks of. Records are rebuilt by a
-join, and every stored payload is hashed again on the way in.
+block and the SHA-256 of the payload it speaks of. Records are rebuilt by
+joins: each payload goes to its response record, and what is reported is
+measured on the rebuilt record. A revisit has no payload of its own; it takes
+the measures of the response with the same digest.
 
-Only the payload table carries payload bytes through a shuffle, one copy per
-distinct payload and map task; everything else moves digests and ids.
+Payload bytes move twice: to be stored once, and to their response record.
+Everything else moves digests and ids.
 
 Defined cases: a null html is the empty payload; a null url is written as an
-empty target URI; of equal payloads the largest page_id is the response, and
+empty target URI, and white space and control characters in one as %XX, so no
+url can add a header line; of equal payloads the largest page_id is the response, and
 of equal page_ids the first by url, so repeated rows give one response; a null
 page_id sorts below all others; an empty table gives an empty archive; other
 columns are ignored.
@@ -40,6 +43,15 @@ def hashed(payload: Column) -> list[Column]:
     return [F.sha2(payload, 256).alias("sha256"), base32_of_hex40(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes")]
 
 
+def one_line(url: Column) -> Column:
+    """A url with white space and control characters percent-encoded; null becomes empty."""
+    text = F.coalesce(url.cast("string"), F.lit(""))
+    safe = text
+    for code in [*range(0x21), 0x7F]:
+        safe = F.replace(safe, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(text.rlike(r"[\x00-\x20\x7F]"), safe).otherwise(text)
+
+
 def _header(page: str, kind: Column, refers: Column) -> Column:
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -49,7 +61,7 @@ def _header(page: str, kind: Column, refers: Column) -> Column:
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", kind),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), text(F.col(page)), F.lit(">"))),
-        line("WARC-Target-URI", text(F.col("url"))),
+        line("WARC-Target-URI", one_line(F.col("url"))),
         line("WARC-Date", F.lit(DATE)),
         F.when(kind == "revisit", line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
         F.when(kind == "revisit", line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), text(refers), F.lit(">")))).otherwise(F.lit("")),
@@ -92,25 +104,34 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
     return stored.select("header", "sha256", urn("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), urn("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest").alias("stated"))
 
 
-def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """The payload table, hashed again; ``ok`` is false where bytes and digest disagree."""
-    stored = spark.read.schema("sha256 string, payload binary, digest string, n_bytes long").parquet(f"{folder}/payloads")
-    again = stored.select(F.col("sha256").alias("stated_sha256"), "payload", *hashed(F.col("payload")))
-    return again.withColumn("ok", F.col("sha256") == F.col("stated_sha256")).withColumn("sha256", F.col("stated_sha256")).drop("stated_sha256")
+END = (CRLF * 2).encode()
 
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record's exact bytes: its header, its payload (none for a revisit), two line ends."""
-    both = read_headers(spark, folder).join(read_payloads(spark, folder).drop("n_bytes"), "sha256", "left")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return both.select("page_id", "record_type", "refers_to", F.concat("header", body, F.lit((CRLF * 2).encode())).alias("record"), F.col("payload"), F.col("ok"))
+    """Every record's exact bytes: its header, its payload (none for a revisit), two line ends.
+
+    Only responses are joined with payloads, one to one but for payloads too
+    small to be deduplicated, so no payload is copied to its revisits.
+    """
+    heads = read_headers(spark, folder)
+    stored = spark.read.schema("sha256 string, payload binary, digest string, n_bytes long").parquet(f"{folder}/payloads")
+    told = heads.filter("record_type = 'response'").join(stored.select("sha256", "payload"), "sha256", "left")
+    again = heads.filter("record_type <> 'response'").withColumn("payload", F.lit(b""))
+    both = told.unionByName(again)
+    return both.select("page_id", "record_type", "refers_to", "sha256", "stated", "header", F.concat("header", F.coalesce("payload", F.lit(b"")), F.lit(END)).alias("record"))
 
 
 def verified(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record with what its stored payload measures; payload bytes do not move."""
-    measured = read_payloads(spark, folder).select("sha256", "digest", "n_bytes", "ok")
-    out = read_headers(spark, folder).join(measured, "sha256", "left")
-    good = F.coalesce(F.col("ok"), F.lit(False)) & (F.col("stated") == F.concat(F.lit("sha1:"), F.col("digest")))
+    """One row per record, with its payload as measured on the rebuilt records."""
+    records = reconstruct(spark, folder)
+    body = F.expr(f"substring(record, octet_length(header) + 1, octet_length(record) - octet_length(header) - {len(END)})")
+    measured = records.filter("record_type = 'response'").select("page_id", "record_type", "refers_to", "stated", "sha256", body.alias("body"))
+    whole = measured.select("page_id", "record_type", "refers_to", "stated", F.col("sha256").alias("named"), *hashed(F.col("body")))
+    whole = materialise(whole, "warc-responses")
+    known = whole.groupBy("named").agg(F.first("sha256").alias("sha256"), F.first("digest").alias("digest"), F.first("n_bytes").alias("n_bytes"))
+    revisits = read_headers(spark, folder).filter("record_type <> 'response'").withColumnRenamed("sha256", "named").drop("header")
+    out = whole.unionByName(revisits.join(known, "named", "left").select(*whole.columns))
+    good = F.coalesce((F.col("sha256") == F.col("named")) & (F.col("stated") == F.concat(F.lit("sha1:"), F.col("digest"))), F.lit(False))
     out = out.withColumn("digest", F.when(good, F.col("digest")).otherwise(F.raise_error(F.lit("a payload does not match its digest")).cast("string")))
     return out.select("page_id", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
