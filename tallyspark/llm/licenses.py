@@ -2,7 +2,7 @@
 
 A rule is a regular expression over the words of a text (lower-cased A-Z, one
 space between words), a keyword that any match must contain, a priority and a
-label. A text is looked at further only if it holds one of the keywords; then
+label. A text is looked at further only if it holds a word of one of the keywords; then
 each word that starts some rule opens a window of ``WINDOW`` words, and the
 rules of that word whose keyword stands in the window are tried at its start.
 A match inside another of the same or a better priority is suppressed. The
@@ -17,6 +17,8 @@ replaced by it. Overlapping matches that do not contain each other all stay.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,8 +117,8 @@ NAMES = [
 
 # how a name is used: first words, what stands before it, priority, score
 USES = [
-    (("licensed", "released", "distributed", "available", "published", "provided", "issued", "covered", "offered"), "under (?:the )?(?:terms of (?:the )?|conditions of (?:the )?)?", 1, 1.0),
-    (("under",), "(?:the )?(?:terms of (?:the )?|conditions of (?:the )?)?", 2, 0.9),
+    (("licensed", "released", "distributed", "available", "published", "provided", "issued", "covered", "offered"), "under (?:the |a )?(?:terms of (?:the |a )?|conditions of (?:the |a )?)?", 1, 1.0),
+    (("under",), "(?:the |a )?(?:terms of (?:the |a )?|conditions of (?:the |a )?)?", 2, 0.9),
     (("subject", "according"), "to (?:the )?(?:terms of (?:the )?)?", 2, 0.9),
     (("governed",), "by (?:the )?(?:terms of (?:the )?)?", 2, 0.9),
 ]
@@ -129,7 +131,7 @@ NOTICES = [
     ("bsd-3-clause", "endorse or promote products", "neither", "the name of (?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse or promote products", 2, 0.9),
     ("bsd-4-clause", "advertising materials", "all", "advertising materials mentioning features or use of this software", 2, 0.9),
     ("gpl", "free software you can redistribute", "is", "free software you can redistribute it and or modify it", 2, 0.9),
-    ("apache-2", "apache license", "you", "may not use this file except in compliance with the license", 2, 0.9),
+    ("apache-2", "may not use this file except in compliance", "you", "may not use this file except in compliance with the license", 2, 0.9),
     ("zlib", "provided as is without any express", "this", "software is provided as is without any express or implied warranty", 2, 0.8),
     ("unlicense", "released into the public domain", "released", "into the public domain", 1, 1.0),
     ("public-domain", "public domain", "dedicated", "to the public domain", 1, 1.0),
@@ -138,6 +140,51 @@ NOTICES = [
     ("proprietary", "proprietary and confidential", "proprietary", "and confidential", 2, 0.7),
     ("proprietary", "unauthorized copying", "unauthorized", "copying of this (?:file|work|document|software)", 2, 0.7),
     ("spdx-other", "spdx license identifier", "spdx", "license identifier [^ ]+", 3, 0.6),
+    ("mit", "this permission notice shall be included", "the", "above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 2, 0.9),
+    ("mit", "to deal in the software without restriction", "to", "deal in the software without restriction including without limitation the rights to use", 2, 0.9),
+    ("mit", "warranty of any kind express or implied", "the", "software is provided as is without warranty of any kind express or implied", 2, 0.8),
+    ("isc", "the author disclaims all warranties", "the", "software is provided as is and the author disclaims all warranties with regard to this software", 2, 0.9),
+    ("bsd", "redistributions of source code", "redistributions", "of source code must retain the above copyright notice this list of conditions and the following disclaimer", 2, 0.9),
+    ("bsd", "redistributions in binary form", "redistributions", "in binary form must reproduce the above copyright notice this list of conditions", 2, 0.9),
+    ("bsd", "any express or implied warranties", "this", "software is provided by (?:the )?(?:[^ ]+ ){1,8}as is and any express or implied warranties", 2, 0.8),
+    ("apache-2", "warranties or conditions of any kind", "distributed", "on an as is basis without warranties or conditions of any kind", 2, 0.8),
+    ("apache-2", "required by applicable law or agreed to in writing", "unless", "required by applicable law or agreed to in writing(?: software distributed under the license)?", 2, 0.8),
+    ("apache-2", "grant of patent license", "grant", "of patent license subject to the terms and conditions of this license", 2, 0.8),
+    ("gpl", "without even the implied warranty", "without", "even the implied warranty of merchantability or fitness for a particular purpose", 2, 0.8),
+    ("gpl", "general public license for more details", "see", "the gnu general public license for more details", 2, 0.9),
+    ("lgpl", "general public license for more details", "see", "the gnu (?:lesser|library) general public license for more details", 2, 0.9),
+    ("agpl", "general public license for more details", "see", "the gnu affero general public license for more details", 2, 0.9),
+    ("gpl", "should have received a copy of the gnu", "you", "should have received a copy of the gnu general public license", 2, 0.9),
+    ("lgpl", "should have received a copy of the gnu", "you", "should have received a copy of the gnu (?:lesser|library) general public license", 2, 0.9),
+    ("agpl", "should have received a copy of the gnu", "you", "should have received a copy of the gnu affero general public license", 2, 0.9),
+    ("gpl", "at your option any later version", "either", "version [123](?: [01])? of the license or at your option any later version", 3, 0.6),
+    ("mpl-2", "this source code form is subject", "this", "source code form is subject to the terms of the mozilla public license v ?2 0", 1, 1.0),
+    ("mpl-2", "a copy of the mpl was not distributed", "if", "a copy of the mpl was not distributed with this file", 2, 0.9),
+    ("mpl-1.1", "contents of this file are subject to the mozilla", "the", "contents of this file are subject to the mozilla public license version 1 1", 1, 1.0),
+    ("cddl-1", "contents of this file are subject to the terms of the common development", "the", "contents of this file are subject to the terms of the common development and distribution license", 1, 1.0),
+    ("epl", "program and the accompanying materials", "this", "program and the accompanying materials are made available under the terms of the eclipse public license", 1, 1.0),
+    ("bsl-1", "any person or organization obtaining a copy", "permission", "is hereby granted free of charge to any person or organization obtaining a copy", 1, 1.0),
+    ("unlicense", "free and unencumbered software", "this", "is free and unencumbered software released into the public domain", 1, 1.0),
+    ("wtfpl", "do what the fuck you want to", "you", "just do what the fuck you want to", 1, 1.0),
+    ("beerware", "buy me a beer in return", "buy", "me a beer in return", 1, 1.0),
+    ("perl", "the same terms as perl", "under", "the same terms as perl(?: itself)?", 1, 1.0),
+    ("zlib", "source versions must be plainly marked", "altered", "source versions must be plainly marked as such", 2, 0.9),
+    ("zlib", "origin of this software must not be misrepresented", "the", "origin of this software must not be misrepresented", 2, 0.9),
+    ("cc0", "has waived all copyright", "to", "the extent possible under law (?:[^ ]+ ){1,8}has waived all copyright", 1, 1.0),
+    ("ofl-1.1", "font software is licensed under the sil", "this", "font software is licensed under the sil open font license(?: version 1 1)?", 1, 1.0),
+    ("openssl", "developed by the openssl project", "developed", "by the openssl project for use in the openssl toolkit", 2, 0.9),
+    ("php-3", "includes php software freely available", "includes", "php software freely available from", 2, 0.9),
+    ("bsd-4-clause", "this product includes software developed by", "this", "product includes software developed by", 2, 0.8),
+    ("proprietary", "may be reproduced", "no", "part of this (?:publication|document|work|software|book) may be reproduced", 2, 0.7),
+    ("proprietary", "the prior written", "without", "the prior written (?:permission|consent) of", 2, 0.6),
+    ("proprietary", "trade secret", "contains", "(?:confidential |proprietary |valuable ){0,2}(?:information and )?trade secrets?", 2, 0.6),
+    ("proprietary", "internal use only", "for", "internal use only", 3, 0.5),
+    ("proprietary", "end user license agreement", "end", "user license agreement", 2, 0.7),
+    ("proprietary", "reverse engineer", "may", "not (?:decompile |disassemble |or ){0,3}reverse engineer", 2, 0.7),
+    ("non-commercial", "commercial use only", "for", "non ?commercial use only", 2, 0.7),
+    ("non-commercial", "commercial purposes", "for", "non ?commercial purposes(?: only)?", 3, 0.6),
+    ("public-domain", "no known copyright", "no", "known copyright(?: restrictions)?", 2, 0.7),
+    ("public-domain", "united states government work", "a", "united states government work", 2, 0.7),
 ]
 
 SPDX = [
@@ -198,12 +245,30 @@ def _words(p: str, at: int = 0) -> tuple[int, int]:
 WINDOW = max(_words(r["p"])[0] for r in rules()) + 1
 
 
-def _gate() -> str:
-    """Any keyword, in a raw text: the shortest ones that the others contain."""
-    keys = {r["k"] for r in rules()}
-    short = sorted({k for k in keys if not any(o != k and f" {o} " in f" {k} " for o in keys)} | {"license", "licence"})
-    short = [k for k in short if not any(o != k and f" {o} " in f" {k} " for o in short)]
-    return "(?i)(?:" + "|".join(k.replace(" ", BREAK) for k in short) + ")"
+#: Words that ordinary texts have, which make poor gates.
+COMMON = frozenset("the and for any all was not you may are this file with without what want source product products provided distributed available public free use under required subject received written agreed contents modification version program materials copy made part work software person same one other prior terms must only united states return development".split())
+
+
+def gate_words() -> list[tuple[str, ...]]:
+    """Words that stand in the keywords, so that every keyword has one: a word that others share, else its longest.
+
+    A keyword of short words alone, which any text has, counts as a whole.
+    """
+    left = {r["k"] for r in rules()}
+    words = sorted({w for k in left for w in k.split(" ") if len(w) > 2 and w not in COMMON})
+    out = []
+    while some := {k for k in left if any(w in k for w in words)}:
+        best = max(words, key=lambda w: (sum(w in k for k in some), len(w), w))
+        out.append((best,))
+        left = {k for k in left if best not in k}
+    short = sorted((tuple(k.split(" ")) for k in left), key=len)
+    return out + [k for n, k in enumerate(short) if not any(k[: len(o)] == o for o in short[:n])]
+
+
+def gated(text: Column) -> Column:
+    """True for every text that can hold a keyword: plain searches, hardly a pattern is tried on other texts."""
+    low = F.lower(text)
+    return reduce(or_, [F.contains(low, F.lit(w[0])) & (F.rlike(low, F.lit(BREAK.join(w))) if len(w) > 1 else F.lit(True)) for w in gate_words()])
 
 
 _RULE = "n int, label string, k string, p string, prio int, score double, base int"
@@ -261,7 +326,7 @@ def detections(text: Column) -> Column:
 
     # a one-element array binds the words once
     bound = F.flatten(F.transform(F.array(words), of))
-    return F.when(F.coalesce(F.rlike(text, F.lit(_gate())), F.lit(False)), bound).otherwise(F.array().cast(f"array<{_DET}>"))
+    return F.when(F.coalesce(gated(text), F.lit(False)), bound).otherwise(F.array().cast(f"array<{_DET}>"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
