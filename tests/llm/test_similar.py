@@ -31,6 +31,14 @@ def test_components_of_random_graphs(spark):
     assert all(got.get(x, x) == want[x] for x in range(341))
 
 
+def test_components_of_a_long_path(spark):
+    rng = random.Random(1)
+    names = list(range(1500))
+    rng.shuffle(names)
+    path = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+    assert {(r.root, r.node) for r in graph.components(path).collect()} == {(0, x) for x in range(1, 1500)}
+
+
 def variants(seed, n, changes):
     rng = random.Random(seed)
     base = sentence(seed, 90).split()
