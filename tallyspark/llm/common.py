@@ -67,4 +67,4 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def sample_below(key: Column, fraction: float) -> Column:
     """True for about ``fraction`` of the keys, the same ones on every run."""
-    return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < F.lit(int(fraction * (1 << 20)))
+    return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40)) < F.lit(int(fraction * (1 << 40)))

@@ -1,18 +1,24 @@
 """Operator 10: n-gram Jaccard join with a MinHash LSH forest.
 
 Texts are sets of five-word shingles. A text's signature is ``TREES`` strings of
-``DEPTH`` MinHash bytes; each string is a path in one tree of the forest, and
-the texts sorted by their paths form its prefix trie. Two texts are candidates
-if they share a path's prefix in some tree. The prefix starts at full depth and
-is shortened until pairs at the threshold meet with the target probability, so
-candidates of the deeper prefixes are among those of the one used.
+``DEPTH`` MinHash bytes; each string is a path in one tree of the forest. All
+paths are sorted in one range-partitioned pass, so that a tree's texts stand in
+the order of its prefix trie and those that share a prefix are neighbours.
+
+Two texts are candidates if they share a prefix of some tree that is as long as
+the shorter of their two prefix lengths. Prefixes begin at full depth and are
+shortened by what the data need: a bounded sample of texts is compared exactly
+with all texts on the way (``Audit``), and for each class of text lengths the
+longest prefix is taken at which the links that the sample really has would be
+found with probability ``RECALL``. After verification the links found are
+counted against the sample's; a class under ``AUDIT_RECALL`` is shortened
+further and all is done again, and an error tells of one that stays under it.
 
 Equal texts are folded first and counted. Candidates are not listed as pairs:
-each bucket's members point at its least member, connected members form a
-group, each group's texts are sent to one place (in blocks of ``BLOCK`` against
-each other where a group is larger), and there the pairs that share a prefix
-are verified exactly. A block returns one row per text: its number of links and
-the least text it is connected with.
+neighbours in the sorted tries are joined into groups, each group's shingle sets
+are sent to one place (in blocks of ``BLOCK`` against each other where a group
+is larger), and there the candidate pairs are verified exactly. A block returns
+one row per text: its number of links and the least text it is connected with.
 
 Defined cases: words are runs of letters and digits of the lower-cased text;
 fewer than five words make one shingle of all; a text without words (null,
@@ -24,32 +30,41 @@ class unless all ids of the class are null; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounded_batches, materialise, table
+from tallyspark.llm.common import bounded_batches, discard, materialise, sample_below, table
 from tallyspark.llm.graph import components
 from tallyspark.llm.words import mixed, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 TREES, DEPTH = 32, 8
-RECALL = 0.999
+#: Probability with which the audited links are to be found, and the measured share below which prefixes are shortened again.
+RECALL, AUDIT_RECALL = 0.999, 0.99
+#: Texts compared with all others, and the most shingles one of them may have; both bound what is sent to every task.
+AUDIT_TEXTS, AUDIT_SHINGLES = 300, 5_000
+#: Texts of up to so many shingles form a class with a prefix length of its own; longer ones are the last class.
+CLASSES = (32, 256)
 #: Texts of a group that are compared with each other in one task; larger groups are compared block by block.
 BLOCK = 1024
+#: Keys of group members that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 SEED = 11
+#: Similarities of audited links are kept in steps of 1 / STEPS.
+STEPS = 100
 
 
-def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which two texts of this similarity meet with this probability."""
-    for d in range(depth, 0, -1):
-        if 1 - (1 - similarity**d) ** trees >= recall:
-            return d
-    return 1
+def meeting(similarity, length: int, trees: int = TREES):
+    """The probability that two texts share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**length) ** trees
 
 
 @lru_cache(4)
@@ -86,45 +101,184 @@ def key_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """One row per distinct text that has words: k, rep (its least doc_id), n (its copies), sig."""
+@dataclass
+class Audit:
+    """A sample of distinct texts: their keys, sizes, and all their shingles sorted with the text of each."""
+
+    keys: list[bytes]
+    sizes: np.ndarray
+    marks: np.ndarray
+    owner: np.ndarray
+
+    def links(self, marks: np.ndarray, key: bytes, similarity: float) -> list[int]:
+        """The sampled texts that a text is linked with, as sample * (STEPS + 1) + similarity in steps."""
+        at = np.searchsorted(self.marks, marks)
+        upto = np.searchsorted(self.marks, marks, "right")
+        hit = upto > at
+        if not hit.any():
+            return []
+        spans = np.concatenate([self.owner[s:e] for s, e in zip(at[hit], upto[hit], strict=True)])
+        shared = np.bincount(spans, minlength=len(self.keys))
+        near = shared / (self.sizes + len(marks) - shared)
+        return [int(i) * (STEPS + 1) + int(near[i] * STEPS) for i in np.flatnonzero(near >= similarity) if self.keys[i] != key]
+
+
+def audit_sample(docs: DataFrame) -> Audit:
+    """About ``AUDIT_TEXTS`` distinct texts drawn by the hash of their key."""
+    rows = docs.count()
 
     @F.pandas_udf("binary")
-    def signed_of(text: pd.Series) -> pd.Series:
-        return pd.Series([signature(s) if len(s) else None for s in map(shingles, text)], dtype=object)
+    def marks_of(text: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).tobytes() for t in text], dtype=object)
+
+    drawn = docs.select(key_of(F.col("text")).alias("k"), "text").filter(sample_below(F.col("k"), AUDIT_TEXTS / max(rows, 1)))
+    each = drawn.groupBy("k").agg(F.first("text").alias("text")).select("k", marks_of("text").alias("marks"))
+    found = each.filter((F.length("marks") > 0) & (F.length("marks") <= 8 * AUDIT_SHINGLES)).orderBy("k").limit(2 * AUDIT_TEXTS).collect()
+    sets = [np.frombuffer(bytes(r["marks"]), np.uint64) for r in found]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    return Audit([bytes(r["k"]) for r in found], sizes, flat[order], np.repeat(np.arange(len(sets)), sizes)[order])
+
+
+def representatives(docs: DataFrame, audit: Audit, similarity: float) -> DataFrame:
+    """One row per distinct text that has words: k, rep (its least doc_id), n (its copies), sig, audited (its links in the sample)."""
+
+    @F.pandas_udf("struct<sig:binary,audited:array<int>>")
+    def read(text: pd.Series, key: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t) for t in text]
+        return pd.DataFrame({
+            "sig": pd.Series([signature(s) if len(s) else None for s in sets], dtype=object),
+            "audited": pd.Series([audit.links(s, bytes(k), similarity) if len(s) else [] for s, k in zip(sets, key, strict=True)], dtype=object),
+        })
+
+    keyed = docs.select("doc_id", "text", key_of(F.col("text")).alias("k"))
+    signed = keyed.select("doc_id", "k", read("text", "k").alias("r")).select("doc_id", "k", "r.*").filter("sig is not null")
+    return signed.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"), F.first("audited").alias("audited"))
+
+
+def audited_links(reps: DataFrame) -> dict[int, dict[int, int]]:
+    """By sampled text, how many other rows it is truly linked with at each similarity step; a few thousand numbers at most."""
+    rows = reps.select("n", F.explode("audited").alias("code")).groupBy("code").agg(F.sum("n").alias("n")).collect()
+    out: dict[int, dict[int, int]] = {}
+    for r in rows:
+        out.setdefault(r["code"] // (STEPS + 1), {})[r["code"] % (STEPS + 1)] = r["n"]
+    return out
+
+
+def class_of(sizes):
+    return np.digitize(sizes, CLASSES, right=True)
+
+
+def _by_stratum(audit: Audit, true: dict[int, dict[int, int]], share) -> dict[int, float]:
+    """By class of lengths, the least mean share over texts of about as many links, so that a large group covers up for nobody."""
+    strata: dict[tuple[int, int], list[float]] = {}
+    for a, steps in true.items():
+        strata.setdefault((int(class_of(audit.sizes[a])), len(str(sum(steps.values())))), []).append(share(a, steps))
+    out: dict[int, float] = {}
+    for (c, _), shares in strata.items():
+        out[c] = min(out.get(c, 1.0), sum(shares) / len(shares))
+    return out
 
-    signed = docs.select("doc_id", key_of(F.col("text")).alias("k"), signed_of("text").alias("sig")).filter("sig is not null")
-    return signed.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
 
+def prefix_lengths(audit: Audit, true: dict[int, dict[int, int]], similarity: float = SIMILARITY, recall: float = RECALL) -> list[int]:
+    """For each class the longest prefix at which its audited links, or links at the threshold if it has none, are found."""
+    out = [0] * (len(CLASSES) + 1)
+    for length in range(DEPTH, 0, -1):
+        found = _by_stratum(audit, true, lambda a, steps, d=length: sum(n * meeting(max(s / STEPS, similarity), d) for s, n in steps.items()) / sum(steps.values()))
+        for c, now in enumerate(out):
+            if not now and (found.get(c, meeting(similarity, length)) >= recall or length == 1):
+                out[c] = length
+    return out
 
-def bucket_edges(reps: DataFrame, length: int) -> DataFrame:
-    """(a, b): each member of a bucket of two or more with the bucket's least member."""
+
+def measured_recall(audit: Audit, true: dict[int, dict[int, int]], links: DataFrame) -> dict[int, float]:
+    """By class, the share of the sample's links that verification has found."""
+    if not true:
+        return {}
+    keys = links.sparkSession.createDataFrame([(a, audit.keys[a]) for a in true], "a int, k binary")
+    got = {r["a"]: r["links"] for r in links.join(F.broadcast(keys), "k").select("a", "links").collect()}
+    return _by_stratum(audit, true, lambda a, steps: min(got.get(a, 0) / sum(steps.values()), 1.0))
+
+
+_ROW = 1 + DEPTH + 16
+
+
+def trie_neighbours(reps: DataFrame, length: int) -> DataFrame:
+    """(a, b): texts that stand next to each other in a tree's sorted paths and share a prefix of this length.
+
+    One binary holds tree, path and text, so ranges of the sort split even the
+    texts of one path. Where a range ends, its last and the next one's first row
+    are compared on the driver: two rows a partition.
+    """
     tree = reps.select("k", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
-    rows = tree.select("k", F.xxhash64("t", F.expr(f"substring(sig, t * {DEPTH} + 1, {length})")).alias("bucket"))
-    pivots = rows.groupBy("bucket").agg(F.min("k").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket", "b")
-    return rows.join(pivots, "bucket").filter("k != b").select(F.col("k").alias("a"), "b")
+    path = F.concat(F.expr("unhex(lpad(hex(t), 2, '0'))"), F.expr(f"substring(sig, t * {DEPTH} + 1, {DEPTH})"), F.col("k"))
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("part", pa.int32()), ("last", pa.bool_())])
+
+    def fixed(rows: np.ndarray) -> pa.Array:
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
+    def batch(a: np.ndarray, b: np.ndarray, last: bool | None = None) -> pa.RecordBatch:
+        part = TaskContext.get().partitionId()
+        return pa.RecordBatch.from_arrays([fixed(a), fixed(b), pa.array([part] * len(a), pa.int32()), pa.array([last] * len(a), pa.bool_())], schema=schema)
 
-def _verify(rows: pd.DataFrame, length: int, similarity: float) -> pd.DataFrame:
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for part in parts:
+            if not part.num_rows:
+                continue
+            col = part.column(0)
+            ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+            rows = np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, _ROW)
+            if before is None:
+                yield batch(rows[:1], rows[:1], False)
+                prev = np.vstack([rows[:1], rows[:-1]])
+                prev[0, 0] ^= 0xFF
+            else:
+                prev = np.vstack([before, rows[:-1]])
+            same = (rows[:, : 1 + length] == prev[:, : 1 + length]).all(1)
+            if same.any():
+                yield batch(rows[same, -16:], prev[same, -16:])
+            before = rows[-1:].copy()
+        if before is not None:
+            yield batch(before, before, True)
+
+    found = tree.select(path.alias("p")).repartitionByRange("p").sortWithinPartitions("p").mapInArrow(each, "a binary, b binary, part int, last boolean")
+    found = materialise(found, "neighbours")
+    edges = sorted(found.filter("last is not null").collect(), key=lambda r: (r["part"], r["last"]))
+    bridges = [(bytes(x["a"])[-16:], bytes(y["a"])[-16:]) for x, y in zip(edges[1::2], edges[2::2], strict=False) if x["a"][: 1 + length] == y["a"][: 1 + length]]
+    inner = found.filter("last is null").select("a", "b")
+    return inner.unionByName(reps.sparkSession.createDataFrame(bridges, "a binary, b binary")) if bridges else inner
+
+
+def candidates(sig: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which texts share, in some tree, a prefix of the shorter of their two lengths; sig is texts x TREES x DEPTH."""
+    meet = np.zeros((len(sig), len(sig)), bool)
+    for d in np.unique(lengths):
+        short = lengths == d
+        path = np.zeros((len(sig), TREES, 8), np.uint8)
+        path[:, :, :d] = sig[:, :, :d]
+        path = path.view("<u8")[:, :, 0]
+        for t in range(TREES):
+            order = np.argsort(path[:, t], kind="stable")
+            for same in np.split(order, np.flatnonzero(np.diff(path[order, t])) + 1):
+                if len(same) > 1 and short[same].any():
+                    meet[np.ix_(same[short[same]], same)] = True
+    return meet | meet.T
+
+
+def _verify(rows: pd.DataFrame, lengths: list[int], similarity: float) -> pd.DataFrame:
     """Links within one pair of blocks of one group; one row per text that has any."""
     i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
     block = rows["block"].to_numpy()
-    sets = [shingles(t) for t in rows["text"]]
+    sets = [np.frombuffer(bytes(m), np.uint64) for m in rows["marks"]]
     sizes = np.array([len(s) for s in sets])
     copies = rows["n"].to_numpy()
     flat, ends = np.concatenate(sets), np.cumsum(sizes)
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), TREES, DEPTH)
-    path = np.zeros((len(rows), TREES, 8), np.uint8)
-    path[:, :, :length] = sig[:, :, :length]
-    path = path.view("<u8")[:, :, 0]
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    meet = np.zeros((len(rows), len(rows)), bool)
-    for t in range(TREES):
-        order = np.argsort(path[:, t], kind="stable")
-        cuts = np.flatnonzero(np.diff(path[order, t])) + 1
-        for same in np.split(order, cuts):
-            if len(same) > 1:
-                meet[np.ix_(same, same)] = True
+    meet = candidates(sig, np.array(lengths)[class_of(sizes)])
     links, up = np.zeros(len(rows), np.int64), np.arange(len(rows))
 
     def root(x: int) -> int:
@@ -157,16 +311,26 @@ def _verify(rows: pd.DataFrame, length: int, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"k": keys[linked], "links": links[linked], "root": [keys[root(x)] for x in linked]})
 
 
-def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, length: int, similarity: float) -> DataFrame:
-    """(k, links, root) of every text with a verified link, one row per pair of blocks."""
+def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, lengths: list[int], similarity: float) -> DataFrame:
+    """(k, links, root) of every text with a verified link, one row per pair of blocks.
+
+    Only texts of group members leave their partition, once each, as shingles.
+    """
+
+    @F.pandas_udf("binary")
+    def marks_of(text: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).tobytes() for t in text], dtype=object)
+
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(blocks, "root").join(reps.select(F.col("k").alias("node"), "n", "sig"), "node")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(key_of(F.col("text")).alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
-    sent = placed.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = members.select("node")
+    keys = F.broadcast(keys) if members.count() <= BROADCAST_KEYS else keys
+    texts = docs.select(key_of(F.col("text")).alias("node"), "text").join(keys, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sent = placed.join(texts.select("node", marks_of("text").alias("marks")), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.select(
-        F.col("root").alias("group"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("node").alias("k"), "block", "n", "sig", "text"
+        F.col("root").alias("group"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("node").alias("k"), "block", "n", "sig", "marks"
     )
     sent = sent.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "k")
 
@@ -176,12 +340,12 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, length: int, s
         for part in parts:
             for key, rows in part.groupby(["group", "i", "j"], sort=False):
                 if key != now and held:
-                    yield _verify(pd.concat(held, ignore_index=True), length, similarity)
+                    yield _verify(pd.concat(held, ignore_index=True), lengths, similarity)
                     held = []
                 now = key
                 held.append(rows)
         if held:
-            yield _verify(pd.concat(held, ignore_index=True), length, similarity)
+            yield _verify(pd.concat(held, ignore_index=True), lengths, similarity)
 
     return sent.mapInPandas(each, "k binary, links long, root binary")
 
@@ -194,11 +358,23 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     linked directly, copies included. One document of each class is kept.
     """
     docs = bounded_batches(docs).select("doc_id", "text")
-    length = prefix_length(similarity, recall)
-    reps = materialise(representatives(docs), "reps")
-    groups = components(bucket_edges(reps, length))
-    found = materialise(verified(docs, reps, groups, length, similarity), "links")
-    links = found.groupBy("k").agg(F.sum("links").alias("links"))
+    audit = audit_sample(docs)
+    reps = materialise(representatives(docs, audit, similarity), "reps")
+    true = audited_links(reps)
+    lengths = prefix_lengths(audit, true, similarity, recall)
+    while True:
+        neighbours = trie_neighbours(reps, min(lengths))
+        groups = components(neighbours)
+        found = materialise(verified(docs, reps, groups, lengths, similarity), "links")
+        links = found.groupBy("k").agg(F.sum("links").alias("links"))
+        share = measured_recall(audit, true, links)
+        low = [c for c, r in share.items() if r < AUDIT_RECALL]
+        if not low:
+            break
+        if any(lengths[c] == 1 for c in low):
+            raise RuntimeError(f"n-gram join: the audited recall {min(share.values()):.3f} stays below {AUDIT_RECALL} with the shortest prefixes")
+        lengths = [d - (c in low) for c, d in enumerate(lengths)]
+        discard(found)
     roots = components(found.select(F.col("k").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("k"), "root")
     whole = reps.select("k", "rep", "n").join(links, "k", "left").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     first = F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("k")))

@@ -74,9 +74,73 @@ def test_jaccard_equals_all_pairs(spark, monkeypatch, block):
     assert kept.columns == documents(spark, rows, clash=True).columns
 
 
-def test_prefix_reaches_the_recall():
-    d = J.prefix_length(0.8, 0.999)
-    assert 1 - (1 - 0.8**d) ** J.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** J.TREES
+def sampled(sizes):
+    return J.Audit([bytes([i]) * 16 for i in range(len(sizes))], np.array(sizes), np.zeros(0, np.uint64), np.zeros(0, int))
+
+
+def test_prefixes_are_as_long_as_the_audited_links_allow():
+    assert J.prefix_lengths(sampled([]), {}) == [7, 7, 7]
+    close, far = {98: 5}, {80: 1}
+    assert J.prefix_lengths(sampled([10, 100, 1000]), {0: close, 1: far, 2: close}) == [8, 7, 8]
+    # many links of one close group do not hide a few far ones
+    assert J.prefix_lengths(sampled([100, 100]), {0: {99: 50_000}, 1: far})[1] == 7
+    assert J.meeting(0.8, 7) >= 0.999 > J.meeting(0.8, 8)
+
+
+def test_candidates_against_all_prefixes():
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 2, (40, J.TREES, J.DEPTH)).astype(np.uint8)
+    lengths = rng.choice([5, 8], 40)
+    common = (np.cumprod(sig[:, None] == sig[None, :], axis=3).sum(3)).max(2)
+    want = common >= np.minimum(lengths[:, None], lengths[None, :])
+    got = J.candidates(sig, lengths)
+    assert np.array_equal(got & ~np.eye(40, dtype=bool), want & ~np.eye(40, dtype=bool))
+
+
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_sorted_neighbours_connect_all_that_share_a_prefix(spark, partitions):
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 3, (300, J.TREES * J.DEPTH)).astype(np.uint8)
+    sigs[:120] = sigs[0]
+    reps = spark.createDataFrame([(i.to_bytes(16, "big"), s.tobytes()) for i, s in enumerate(sigs)], "k binary, sig binary")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    pairs = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in J.trie_neighbours(reps, 6).collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    path = sigs.reshape(300, J.TREES, J.DEPTH)[:, :, :6]
+    want = [(a, b) for a in range(300) for b in range(a) if (path[a] == path[b]).all(1).any()]
+    assert components(300, pairs) == components(300, want)
+
+
+def test_the_audit_counts_true_links(spark):
+    texts = [t for s in range(6) for t in variants(s, 20, 5)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(500, texts[0], "en", "a")]
+    docs = documents(spark, rows).select("doc_id", "text")
+    audit = J.audit_sample(docs)
+    sets = [set(J.shingles(t).tolist()) for _, t, *_ in rows]
+    key = {J.shingles(t).tobytes(): t for t in texts}
+    true = J.audited_links(J.representatives(docs, audit, 0.8))
+    for a in range(len(audit.keys)):
+        own = set(audit.marks[audit.owner == a].tolist())
+        text = key[np.array(sorted(own), np.uint64).tobytes()]
+        want = sum(len(own & s) / len(own | s) >= 0.8 for (_, t, *_), s in zip(rows, sets) if t != text)
+        assert sum(true.get(a, {}).values()) == want
+    assert len(audit.keys) == len(set(texts))
+
+
+def test_low_recall_shortens_prefixes_and_then_is_an_error(spark, monkeypatch):
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(variants(1, 6, 3))])
+    seen = []
+    real = J.trie_neighbours
+    monkeypatch.setattr(J, "trie_neighbours", lambda reps, length: seen.append(length) or real(reps, length))
+    monkeypatch.setattr(J, "measured_recall", lambda *a: {1: 0.5} if len(seen) < 3 else {})
+    J.join(docs).collect()
+    assert len(seen) == 3 and seen[2] < seen[0]
+    monkeypatch.setattr(J, "prefix_lengths", lambda *a: [1, 1, 1])
+    monkeypatch.setattr(J, "measured_recall", lambda *a: {1: 0.5})
+    with pytest.raises(RuntimeError, match="0.500"):
+        J.join(docs)
 
 
 def test_jaccard_of_nothing(spark):
