@@ -3,7 +3,9 @@
 Twenty statistics of a text are standardised and mapped to random Fourier
 features, which approximate a Gaussian kernel; ridge regression on them is
 solved from normal equations that each partition sums for its rows; isotonic
-calibration turns the raw score into the chance of label 1.
+calibration turns the raw score into the chance of label 1. It is fitted on raw
+scores that each half of the sample gets from the equations of the other half,
+so that it sees scores as new documents have them.
 
 It learns from at most about ``TRAIN_ROWS`` labelled documents, drawn by a hash
 of doc_id from those whose crc32(doc_id) mod 5 is not 0. The sample is small
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import bounded_batches, checkpointed, crc_mod, sample_below, table
@@ -42,7 +44,7 @@ THRESHOLD = 0.3
 STEP, LOW, HIGH = 0.002, -1.0, 2.0
 #: Share of the raw score in the result, so that ties of the calibration keep their order.
 TILT = 0.001
-PARTS, SLOTS = 8, 8
+PARTS = 8
 N_STATS = 20
 
 
@@ -122,6 +124,17 @@ def isotonic(values: np.ndarray, hits: np.ndarray, counts: np.ndarray) -> tuple[
     return p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
 
 
+def half_of(doc_id) -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), doc_id), F.lit(2)).cast("int")
+
+
+def solved(sums: np.ndarray, rows: float) -> np.ndarray:
+    """Ridge weights from normal equations with the right side as last column."""
+    penalty = RIDGE * rows / FEATURES * np.eye(FEATURES + 1)
+    penalty[-1, -1] = 0.0
+    return np.linalg.lstsq(sums[:, :-1] + penalty, sums[:, -1], rcond=None)[0]
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
     known = labels.filter(F.col(label).isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0)).select(F.col("doc_id"), F.col(label).alias("y"))
     n = known.count()
@@ -134,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
         return pd.Series(list(all_statistics(text.tolist())))
 
     # at most about train_rows narrow rows: a bound that holds whatever the corpus
-    sample = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", measured("text").alias("x"))
+    sample = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", half_of(F.col("doc_id")).alias("half"), measured("text").alias("x"))
     sample = checkpointed(sample.repartition(PARTS, "doc_id"))
     moments = sample.agg(
         F.count(F.lit(1)).alias("n"),
@@ -147,34 +160,33 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     mean, scale = np.array(moments["mean"]), np.maximum(np.array(moments["sd"]), 1e-6)
 
     def normal_equations(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((FEATURES + 1, FEATURES + 2))
-        rows = 0
+        total = np.zeros((2, FEATURES + 1, FEATURES + 2))
         for part in parts:
-            if len(part):
-                z = fourier(np.stack(part["x"].to_numpy()), mean, scale)
-                total += z.T @ np.hstack([z, part["y"].to_numpy()[:, None]])
-                rows += len(part)
-        if rows:
-            yield pd.DataFrame({"slot": range(SLOTS), "sums": [x.tobytes() for x in np.array_split(total, SLOTS)]})
-
-    def added(rows: pd.DataFrame) -> pd.DataFrame:
-        sums = np.sum([np.frombuffer(x) for x in rows["sums"]], axis=0)
-        return pd.DataFrame({"slot": rows["slot"][:1], "sums": [sums.tobytes()]})
-
-    # partitions are added up by slots of the matrix; the driver gets one matrix of fixed size
-    sums = sample.mapInPandas(normal_equations, "slot int, sums binary").groupBy("slot").applyInPandas(added, "slot int, sums binary").collect()
-    both = np.concatenate([np.frombuffer(bytes(r["sums"])) for r in sorted(sums, key=lambda r: r["slot"])]).reshape(FEATURES + 1, FEATURES + 2)
-    penalty = RIDGE * moments["n"] / FEATURES * np.eye(FEATURES + 1)
-    penalty[-1, -1] = 0.0
-    weights = np.linalg.solve(both[:, :-1] + penalty, both[:, -1])
+            for half, rows in part.groupby("half"):
+                z = fourier(np.stack(rows["x"].to_numpy()), mean, scale)
+                total[half] += z.T @ np.hstack([z, rows["y"].to_numpy()[:, None]])
+        for half in np.flatnonzero(total.any((1, 2))):
+            yield pd.DataFrame({"half": half, "i": np.arange(FEATURES + 1), "v": list(total[half])})
+
+    # the partitions' matrices are added up element by element; the driver gets two of fixed size
+    cells = sample.mapInPandas(normal_equations, "half int, i int, v array<double>").select("half", "i", F.posexplode("v").alias("j", "v"))
+    lines = cells.groupBy("half", "i", "j").agg(F.round(F.sum("v"), 9).alias("v")).groupBy("half", "i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("v"))
+    sums = np.zeros((2, FEATURES + 1, FEATURES + 2))
+    for r in lines.select("half", "i", F.col("v.v").alias("v")).collect():
+        sums[r["half"], r["i"]] = r["v"]
+    # the constant is the last feature, so its own sum is the number of rows
+    many = sums[:, -1, -2]
+    weights = solved(sums.sum(0), many.sum())
+    other = [solved(sums[1 - h], many[1 - h]) if many.min() > 0 else weights for h in (0, 1)]
 
     @F.pandas_udf("long")
-    def stepped(x: pd.Series) -> pd.Series:
-        raw = fourier(np.stack(x.to_numpy()), mean, scale) @ weights
+    def stepped(x: pd.Series, half: pd.Series) -> pd.Series:
+        z = fourier(np.stack(x.to_numpy()), mean, scale)
+        raw = np.where(half.to_numpy() == 0, z @ other[0], z @ other[1])
         return pd.Series(np.round((np.clip(raw, LOW, HIGH) - LOW) / STEP).astype(np.int64))
 
     # at most (HIGH - LOW) / STEP rows
-    steps = sample.select(stepped("x").alias("step"), "y").groupBy("step").agg(F.sum("y").alias("hits"), F.count("y").alias("n")).orderBy("step").collect()
+    steps = sample.select(stepped("x", "half").alias("step"), "y").groupBy("step").agg(F.sum("y").alias("hits"), F.count("y").alias("n")).orderBy("step").collect()
     centres, chances = isotonic(np.array([LOW + STEP * r["step"] for r in steps]), np.array([r["hits"] for r in steps]), np.array([r["n"] for r in steps]))
     return Model(mean, scale, weights, centres, chances)
 

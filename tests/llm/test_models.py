@@ -149,6 +149,30 @@ def test_quality_hard_rows(spark, labelled):
     assert Q.classify(empty(spark), model).count() == 0
 
 
+def test_the_model_against_a_slow_one(spark, labelled):
+    rows, _, frame = labelled
+    docs = documents(spark, rows)
+    model = Q.learn(docs, frame)
+    y = {r.doc_id: r.y for r in frame.groupBy("doc_id").agg({"quality": "max"}).toDF("doc_id", "y").collect() if r.y is not None}
+    half = {r.doc_id: r.h for r in docs.select("doc_id", Q.half_of(docs.doc_id).alias("h")).collect()}
+    own = [(i, t) for i, t, *_ in rows if i in y and zlib.crc32(str(i).encode()) % 5]
+    x = Q.all_statistics([t for _, t in own])
+    assert np.allclose(model.mean, x.mean(0), atol=1e-8) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6), atol=1e-8)
+    z, target, side = Q.fourier(x, model.mean, model.scale), np.array([y[i] for i, _ in own], float), np.array([half[i] for i, _ in own])
+
+    def ridge(rows):
+        a = z[rows].T @ z[rows] + Q.RIDGE * rows.sum() / Q.FEATURES * np.diag([1.0] * Q.FEATURES + [0.0])
+        return np.linalg.solve(a, z[rows].T @ target[rows])
+
+    assert np.allclose(z @ model.weights, z @ ridge(side >= 0), atol=1e-4)
+    raw = np.where(side == 0, z @ ridge(side == 1), z @ ridge(side == 0))
+    step = np.round((np.clip(raw, Q.LOW, Q.HIGH) - Q.LOW) / Q.STEP).astype(int)
+    known = np.unique(step)
+    centres, chances = Q.isotonic(Q.LOW + Q.STEP * known, np.array([target[step == k].sum() for k in known]), np.array([(step == k).sum() for k in known]))
+    ends = np.linspace(-0.5, 1.5, 50)
+    assert np.allclose(np.interp(ends, model.steps, model.chances), np.interp(ends, centres, chances), atol=0.05)
+
+
 def test_isotonic_is_the_least_squares_fit_that_rises():
     x, y = Q.isotonic(np.array([0.0, 1, 2, 3, 4]), np.array([1.0, 0, 2, 1, 3]), np.array([2.0, 2, 2, 2, 3]))
     assert np.allclose(y, [0.25, 0.75, 1.0]) and np.all(np.diff(x) > 0)
