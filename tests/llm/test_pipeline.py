@@ -54,6 +54,19 @@ def test_each_stage_takes_effect(spark, corpus):
     assert Counter((r.doc_id, r.n_tokens) for r in last.collect()) == Counter((r.doc_id, len(t.encode(r.text)) // 4) for r in mixed.collect())
 
 
+def test_an_unknown_alphabet_goes_and_short_texts_stay(spark, corpus):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, t, lang, s) for i, t, lang, s in made(260, 3)]
+    strange = [(3000 + i, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(200)), None, "s") for i in range(60)]
+    short = [(4000 + i, "ka", None, "s") for i in range(3)]
+    docs = documents(spark, rows + strange + short).selectExpr("*", "cast(length(text) as long) as n_chars")
+    kept = {r.doc_id for r in P.language_stage(spark, docs, corpus).collect()}
+    assert {r[0] for r in rows + short} <= kept
+    assert sum(r[0] in kept for r in strange) < 6
+
+
 def test_run_equals_the_stages(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     for _, stage in P.STAGES:
