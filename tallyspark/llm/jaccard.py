@@ -110,17 +110,34 @@ class Audit:
     marks: np.ndarray
     owner: np.ndarray
 
-    def links(self, marks: np.ndarray, key: bytes, similarity: float) -> list[int]:
-        """The sampled texts that a text is linked with, as sample * (STEPS + 1) + similarity in steps."""
-        at = np.searchsorted(self.marks, marks)
-        upto = np.searchsorted(self.marks, marks, "right")
-        hit = upto > at
-        if not hit.any():
-            return []
-        spans = np.concatenate([self.owner[s:e] for s, e in zip(at[hit], upto[hit], strict=True)])
-        shared = np.bincount(spans, minlength=len(self.keys))
-        near = shared / (self.sizes + len(marks) - shared)
-        return [int(i) * (STEPS + 1) + int(near[i] * STEPS) for i in np.flatnonzero(near >= similarity) if self.keys[i] != key]
+    def __post_init__(self):
+        self.first = np.flatnonzero(np.r_[True, self.marks[1:] != self.marks[:-1]]) if len(self.marks) else np.zeros(0, np.int64)
+        self.known, self.many = self.marks[self.first], np.diff(np.r_[self.first, len(self.marks)])
+
+    def links(self, sets: list[np.ndarray], keys: list[bytes], similarity: float) -> list[list[int]]:
+        """For each text the sampled ones it is linked with, as sample * (STEPS + 1) + similarity in steps."""
+        out: list[list[int]] = [[] for _ in sets]
+        if not len(self.known):
+            return out
+        sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        at = np.minimum(np.searchsorted(self.known, flat), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[at] == flat)
+        at, text = at[hit], np.repeat(np.arange(len(sets)), sizes)[hit]
+        # some texts at a time, so that no more than about a million shared shingles are listed at once
+        done = np.cumsum(self.many[at]) // 1_000_000
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(done[np.searchsorted(text, text, "right") - 1])) + 1) if len(at) else []:
+            many = self.many[at[part]]
+            owner = self.owner[np.repeat(self.first[at[part]] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
+            low, m = text[part[0]], len(self.keys)
+            shared = np.bincount((np.repeat(text[part], many) - low) * m + owner).astype(np.int64)
+            seen = np.flatnonzero(shared)
+            t, i = seen // m + low, seen % m
+            near = shared[seen] / (self.sizes[i] + sizes[t] - shared[seen])
+            for a, b, s in zip(t[near >= similarity], i[near >= similarity], near[near >= similarity], strict=True):
+                if self.keys[b] != keys[a]:
+                    out[a].append(int(b) * (STEPS + 1) + int(s * STEPS))
+        return out
 
 
 def audit_sample(docs: DataFrame) -> Audit:
@@ -149,7 +166,7 @@ def representatives(docs: DataFrame, audit: Audit, similarity: float) -> DataFra
         sets = [shingles(t) for t in text]
         return pd.DataFrame({
             "sig": pd.Series([signature(s) if len(s) else None for s in sets], dtype=object),
-            "audited": pd.Series([audit.links(s, bytes(k), similarity) if len(s) else [] for s, k in zip(sets, key, strict=True)], dtype=object),
+            "audited": pd.Series(audit.links(sets, list(map(bytes, key)), similarity), dtype=object),
         })
 
     keyed = docs.select("doc_id", "text", key_of(F.col("text")).alias("k"))
