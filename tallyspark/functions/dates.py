@@ -56,10 +56,17 @@ def by_format(text: Column, name: str) -> Column:
     return found
 
 
+def _any_form(names) -> str:
+    """One pattern for all that any of the formats could read, so that other texts cost one look."""
+    return "|".join(dict.fromkeys(_form(_SPARK[n]) for n in names))
+
+
 def parse_date(text: Column, formats=None) -> Column:
     """The first format that reads the text; null if none does."""
-    names = formats or [n for n, _ in CANDIDATES]
-    return bound(normalize_space(text), lambda clean: F.coalesce(*[by_format(clean, f) for f in names]))
+    names = list(formats or [n for n, _ in CANDIDATES])
+    # a date is far shorter than most texts, which need not even be normalised
+    near = F.when(text.rlike(r"\d"), text)
+    return bound(normalize_space(near), lambda clean: F.when(clean.rlike(_any_form(names)), F.coalesce(*[by_format(clean, f) for f in names])))
 
 
 def is_date(text: Column, formats=None) -> Column:
@@ -77,13 +84,18 @@ def looks_like_date(text: Column) -> Column:
 def choose_format(samples: DataFrame) -> DataFrame:
     """(grp, n, text) to (grp, format): one that reads all of a group's texts, in order if possible.
 
-    Every sample is read in every format by one projection; a group's formats
-    are then judged by windows, and the first that gives dates all rising or all
-    falling wins, else the first that reads all.
+    Every sample is read in every format by one projection; formats that do not
+    read all of a group fall before rows are multiplied, the others are judged
+    by windows, and the first that gives dates all rising or all falling wins,
+    else the first that reads all.
     """
-    clean = normalize_space(F.col("text"))
-    each = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(name).alias("format"), by_format(clean, name).alias("on")) for k, (name, _) in enumerate(CANDIDATES)])
-    rows = samples.select("grp", "n", F.inline(each))
+    clean = samples.select("grp", "n", normalize_space(F.col("text")).alias("clean"))
+    read = clean.select("grp", "n", F.array(*[by_format(F.col("clean"), name) for name, _ in CANDIDATES]).alias("read"))
+    mask = F.aggregate(F.transform("read", lambda x, k: F.when(x.isNotNull(), F.call_function("shiftleft", F.lit(1), k)).otherwise(0)), F.lit(0), lambda a, x: a.bitwiseOR(x))
+    whole = F.bit_and("mask").over(Window.partitionBy("grp"))
+    rows = read.withColumn("mask", mask).withColumn("whole", whole).filter("whole > 0")
+    each = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(name).alias("format"), F.col("read")[k].alias("on"), (F.call_function("getbit", F.col("whole"), F.lit(k)) == 1).alias("good")) for k, (name, _) in enumerate(CANDIDATES)])
+    rows = rows.select("grp", "n", F.inline(F.filter(each, lambda x: x["good"])))
     before = F.lag("on").over(Window.partitionBy("grp", "ord").orderBy("n"))
     rows = rows.withColumn("before", before)
     judged = rows.groupBy("grp", "ord", "format").agg(

@@ -12,6 +12,9 @@ CURRENCY = r"(?i)(?:₹|Rs\.?|INR|USD|US\$|\$)"
 SUFFIX = r"\s*(CR|DR|Cr|Dr|cr|dr)\.?$"
 NUMBER = r"^\(?-?[\d,]*\d(?:\.\d+)?\)?$"
 EMPTY = ("", "-")
+#: A number without marks, and the characters that a number with marks can have.
+PLAIN = r"^-?[\d,]*\d(?:\.\d+)?$"
+MARKED = r"(?i)^[-\d,.()\s₹$RSINUDC]*$"
 EXACT = "decimal(38,6)"
 
 
@@ -21,7 +24,23 @@ def parse_amount(text: Column, empty=EMPTY) -> Column:
     The suffix says CR or DR and does not change the sign; parentheses and a
     trailing minus do. Commas may stand anywhere among the digits.
     """
-    return bound(normalize_space(text), lambda raw: bound(_unmarked(raw), lambda clean: bound(_parts(clean), lambda parts: _amount(raw, clean, parts, empty))))
+    none, unmarked = F.lit(None).cast("string"), F.lit(None).cast(EXACT)
+    told = lambda ok, value, suffix: F.struct(ok.alias("ok"), value.alias("value"), suffix.alias("suffix"))
+
+    def read(raw: Column) -> Column:
+        blank = raw.isin(*empty) if empty else F.lit(False)
+        stripped = _unmarked(raw).isin(*empty) if empty else F.lit(False)
+        marked = bound(_unmarked(raw), lambda clean: bound(_parts(clean), lambda parts: _amount(raw, clean, parts, empty)))
+        # most texts are plain numbers or no numbers at all, and need none of the marks looked for
+        return (
+            F.when(blank, told(F.lit(True), unmarked, none))
+            .when(raw.rlike(PLAIN), bound(F.replace(raw, F.lit(","), F.lit("")).try_cast(EXACT), lambda v: told(v.isNotNull(), v, none)))
+            .when(~raw.rlike(r"\d"), told(stripped, unmarked, none))
+            .when(raw.rlike(MARKED), marked)
+            .otherwise(told(F.lit(False), unmarked, none))
+        )
+
+    return bound(normalize_space(text), read)
 
 
 def _unmarked(raw: Column) -> Column:

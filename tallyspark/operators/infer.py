@@ -195,7 +195,7 @@ def _dated(texts: Column, k: int):
 
 def table_starts(lines: DataFrame) -> DataFrame:
     """(doc, page, first): the first transaction line that has another within the fourteen after it."""
-    rows = lines.withColumn("hit", is_transaction(F.col("ws")))
+    rows = lines if "hit" in lines.columns else lines.withColumn("hit", is_transaction(F.col("ws")))
     ahead = Window.partitionBy("doc", "page").orderBy("line_no").rowsBetween(0, 14)
     rows = rows.withColumn("near", F.count_if("hit").over(ahead))
     return rows.filter("hit and near >= 2").groupBy("doc", "page").agg(F.min("line_no").alias("first"))

@@ -12,6 +12,7 @@ from tallyspark.plans import store as P
 from tallyspark.plans.bindings import headers, ledger, table
 from tallyspark.plans.checks import _RESULTS
 from tallyspark.plans.registry import query
+from tallyspark.sources.tables import stored
 
 FIELDS = ["status", "price", "priority"]
 
@@ -98,7 +99,10 @@ def gld4_agent_gate(spark, d):
 
 
 def _all_issues(spark, d) -> DataFrame:
-    t, h = ledger(spark, d), headers(spark, d)
+    return _issues_of(ledger(spark, d), headers(spark, d))
+
+
+def _issues_of(t, h) -> DataFrame:
     return v.chain_issues(t).unionByName(v.reconciliation_issues(t, h)).unionByName(v.row_issues(t, h)).unionByName(v.header_issues(h))
 
 
@@ -140,8 +144,12 @@ lv AS (
 
 def _levels(spark, d) -> DataFrame:
     t, h = ledger(spark, d), headers(spark, d)
+    return _levels_of(t, h, v.check_results(t, h), _all_issues(spark, d))
+
+
+def _levels_of(t, h, results, issues) -> DataFrame:
     latest = v.totals(t).select("doc", F.col("latest").isNotNull().alias("has_latest"))
-    return R.field_levels(v.check_results(t, h), _all_issues(spark, d), h.join(latest, "doc", "left"))
+    return R.field_levels(results, issues, h.join(latest, "doc", "left"))
 
 
 @query("rev1_field_levels", f"{_LEVELS} SELECT * FROM lv")
@@ -158,15 +166,16 @@ SELECT doc, CASE WHEN status = 'FAIL' OR len(coalesce(low, [])) > 0 OR doc % 10
     list_transform(coalesce(low, []), lambda f: 'low:' || f), CASE WHEN no_ifsc THEN ['missing:header.ifsc'] ELSE [] END, CASE WHEN doc % 10 = 0 THEN ['check:row:*:money'] WHEN doc % 10 = 1 THEN ['check:text:x:*:*'] ELSE [] END) AS reasons
 FROM ov LEFT JOIN warn USING (doc) LEFT JOIN lows USING (doc)""")
 def rev2_confidence(spark, d):
-    t, h = ledger(spark, d), headers(spark, d)
-    report = v.reports(v.check_results(t, h)).select("doc", F.col("status").alias("validation"))
+    t, h = stored(ledger(spark, d), "ledger"), stored(headers(spark, d), "headers")
+    results, issues = stored(v.check_results(t, h), "results"), stored(_issues_of(t, h).select("doc", "code", "severity"), "issues")
+    report = v.reports(results).select("doc", F.col("status").alias("validation"))
     counts = t.groupBy("doc").agg(F.count(F.lit(1)).alias("n_rows"))
-    basis = report.join(counts, "doc").join(G.warning_codes(_all_issues(spark, d)), "doc", "left")
+    basis = report.join(counts, "doc").join(G.warning_codes(issues), "doc", "left")
     basis = basis.withColumns({"warnings": F.coalesce("warnings", F.array().cast("array<string>")), "has_template": F.col("doc") % 9 != 0, "expected": F.array(F.lit("header.ifsc"))})
     n = F.col("doc") % 10
     item = F.when(n == 0, "row:3:money").when(n == 1, "text:x:4:0").when(n == 2, "field:header.branch").when(n == 3, "text:descriptions").when(n == 4, "row:0:no_opening_balance").otherwise("row:7:money")
     items = t.select("doc").distinct().select("doc", item.alias("item"), F.when(n == 0, "low").otherwise("medium").alias("level"), (n > 4).alias("muted"))
-    return R.confidence(basis, _levels(spark, d), items)
+    return R.confidence(basis, _levels_of(t, h, results, issues), items)
 
 
 @query("rev3_history", f"{_LEVELS} SELECT doc, field, CASE WHEN level = 'high' AND ((field = 'header.ifsc' AND doc % 3 = 0) OR (field = 'transactions.debit' AND doc % 5 = 0)) THEN 'medium' ELSE level END AS level FROM lv")

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import infer as I
 from tallyspark.operators import lines as L
-from tallyspark.plans.bindings import LEDGER_SQL, ledger, table
+from tallyspark.plans.bindings import LEDGER_SQL, ledger, spread, table
 from tallyspark.plans.registry import query
 from tallyspark.plans.words import WORDS_SQL, _lines, statement_words, words
 
 
 def cells(spark, d) -> DataFrame:
     """Per supplier a printed table: number, date, text, debit, credit, balance, short text."""
-    r = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_returnflag", "l_linestatus")
+    r = spread(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_returnflag", "l_linestatus"))
     row = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     even = F.col("l_orderkey") % 2 == 0

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, money, text
-from tallyspark.plans.bindings import cents, table
+from tallyspark.plans.bindings import cents, spread, table
 from tallyspark.plans.registry import query
 
 PRINTED_DATES = ("dd/MM/yyyy", "dd-MM-yyyy", "d.M.yyyy", "dd MMM yyyy", "dd-MMM-yy", "dd MMMM yyyy", "yyyy-MM-dd")
@@ -22,7 +22,7 @@ def _pick(n: Column, options: list[Column]) -> Column:
 
 def printed_cells(spark, d) -> DataFrame:
     """lineitem as printed: a date in the format of its line number, an amount in the style of its order."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    rows = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice"))
     day = F.col("l_shipdate").cast("date")
     amount = cents(F.col("l_extendedprice"))
     plain = F.concat((amount / 100).cast("long").cast("string"), F.lit("."), F.lpad((amount % 100).cast("string"), 2, "0"))

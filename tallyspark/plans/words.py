@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import money
 from tallyspark.operators import lines as L
 from tallyspark.operators import rows as R
-from tallyspark.plans.bindings import LEDGER_SQL, ledger, table
+from tallyspark.plans.bindings import LEDGER_SQL, ledger, spread, table
 from tallyspark.plans.registry import query
 
 TENTHS = 30
@@ -16,7 +16,7 @@ TENTHS = 30
 
 def words(spark, d) -> DataFrame:
     """All words of all documents, set on pages in whole tenths of a point."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     each = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("p", "text"))
     p = F.col("p")
     x0 = (p % 8) * 600
