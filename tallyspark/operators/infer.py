@@ -158,39 +158,27 @@ def best_gap(ws: Column, left: Column, right: Column) -> Column:
     return F.when(right > left, F.array_min(F.transform(runs, judged))["mid"])
 
 
+def _any_date(texts: Column, most: Column) -> Column:
+    """One to three words in a row that are a date, beginning within the first ``most`` words."""
+    starts = F.sequence(F.lit(1), F.least(most, F.size(texts)))
+    grams = F.flatten(F.transform(starts, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.array_join(F.slice(texts, i, k), " "))))
+    return (F.size(texts) > 0) & F.exists(F.filter(grams, lambda g: g.rlike(r"\d")), lambda g: F.coalesce(dates.is_date(g), F.lit(False)))
+
+
+def _money(texts: Column) -> Column:
+    return F.exists(texts, lambda t: t.rlike(PRINTED_MONEY))
+
+
 def is_transaction(ws: Column) -> Column:
     """A date within the first three words and a printed amount anywhere."""
     texts = F.transform(ws, lambda w: w["text"])
-    grams = []
-    for i in (1, 2, 3):
-        for k in (1, 2, 3):
-            grams.append(F.when(F.size(texts) >= i + k - 1, F.array_join(F.slice(texts, i, k), " ")))
-    dated = F.lit(False)
-    for g in grams:
-        dated = dated | F.coalesce(dates.is_date(F.when(g.rlike(r"\d"), g)), F.lit(False))
-    return F.exists(texts, lambda t: t.rlike(PRINTED_MONEY)) & dated
+    return _money(texts) & _any_date(texts, F.lit(3))
 
 
 def has_value(ws: Column) -> Column:
     """A printed amount, or one to three words in a row that are a date."""
     texts = F.transform(ws, lambda w: w["text"])
-    found = F.exists(texts, lambda t: t.rlike(PRINTED_MONEY))
-    for k in (1, 2, 3):
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(texts), F.lit(1))), _fits(texts, k))
-        found = found | F.exists(places, _dated(texts, k))
-    return found
-
-
-def _fits(texts: Column, k: int):
-    return lambda i: i + (k - 1) <= F.size(texts)
-
-
-def _dated(texts: Column, k: int):
-    def test(i: Column) -> Column:
-        g = F.array_join(F.slice(texts, i, F.lit(k)), " ")
-        return F.coalesce(dates.is_date(F.when(g.rlike(r"\d"), g)), F.lit(False))
-
-    return test
+    return _money(texts) | _any_date(texts, F.size(texts))
 
 
 def table_starts(lines: DataFrame) -> DataFrame:
@@ -209,7 +197,7 @@ def heading_lines(lines: DataFrame, starts: DataFrame, most: int = 3) -> DataFra
     array from the bottom up.
     """
     page = lines.join(starts, ["doc", "page"]).filter(F.col("line_no") <= F.col("first"))
-    row = F.struct((-F.col("line_no")).alias("back"), "line_no", "top", "bottom", has_value(F.col("ws")).alias("value"))
+    row = F.struct((-F.col("line_no")).alias("back"), "line_no", "top", "bottom", (F.col("value") if "value" in lines.columns else has_value(F.col("ws"))).alias("value"))
     page = page.groupBy("doc", "page").agg(F.array_sort(F.collect_list(row)).alias("up"))
     start = F.struct(F.lit(None).cast("double").alias("below"), F.lit(0).alias("state"), F.array().cast("array<int>").alias("kept"))
 
