@@ -53,8 +53,8 @@ RECALL, AUDIT_RECALL = 0.999, 0.99
 AUDIT_TEXTS, AUDIT_SHINGLES = 300, 5_000
 #: Texts of up to so many shingles form a class with a prefix length of its own; longer ones are the last class.
 CLASSES = (32, 256)
-#: Texts of a group that are compared with each other in one task; larger groups are compared block by block.
-BLOCK = 1024
+#: Texts of a group that are compared with each other in one task, and the bytes of their shingles; larger groups are compared block by block.
+BLOCK, BLOCK_BYTES = 2048, 64 << 20
 #: Keys of group members that are broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 SEED = 11
@@ -161,17 +161,18 @@ def audit_sample(docs: DataFrame) -> Audit:
 def representatives(docs: DataFrame, audit: Audit, similarity: float) -> DataFrame:
     """One row per distinct text that has words: k, rep (its least doc_id), n (its copies), sig, audited (its links in the sample)."""
 
-    @F.pandas_udf("struct<sig:binary,audited:array<int>>")
+    @F.pandas_udf("struct<sig:binary,size:int,audited:array<int>>")
     def read(text: pd.Series, key: pd.Series) -> pd.DataFrame:
         sets = [shingles(t) for t in text]
         return pd.DataFrame({
             "sig": pd.Series([signature(s) if len(s) else None for s in sets], dtype=object),
+            "size": [len(s) for s in sets],
             "audited": pd.Series(audit.links(sets, list(map(bytes, key)), similarity), dtype=object),
         })
 
     keyed = docs.select("doc_id", "text", key_of(F.col("text")).alias("k"))
     signed = keyed.select("doc_id", "k", read("text", "k").alias("r")).select("doc_id", "k", "r.*").filter("sig is not null")
-    return signed.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"), F.first("audited").alias("audited"))
+    return signed.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.first("audited").alias("audited"))
 
 
 def audited_links(reps: DataFrame) -> dict[int, dict[int, int]]:
@@ -339,8 +340,9 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, lengths: list[
         return pd.Series([shingles(t).tobytes() for t in text], dtype=object)
 
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "root").join(reps.select(F.col("k").alias("node"), "n", "sig"), "node")
+    known = members.join(reps.select(F.col("k").alias("node"), "n", "sig", "size"), "node")
+    blocks = known.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.col("size") * 8) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = known.join(blocks, "root")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     keys = members.select("node")
     keys = F.broadcast(keys) if members.count() <= BROADCAST_KEYS else keys
@@ -383,6 +385,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
         neighbours = trie_neighbours(reps, min(lengths))
         groups = components(neighbours)
         found = materialise(verified(docs, reps, groups, lengths, similarity), "links")
+        # what led to the links is not read again
+        discard(neighbours)
+        discard(groups)
         links = found.groupBy("k").agg(F.sum("links").alias("links"))
         share = measured_recall(audit, true, links)
         low = [c for c, r in share.items() if r < AUDIT_RECALL]
