@@ -44,6 +44,7 @@ THRESHOLD = 0.3
 STEP, LOW, HIGH = 0.002, -1.0, 2.0
 #: Share of the raw score in the result, so that ties of the calibration keep their order.
 TILT = 0.001
+#: Tasks that sum normal equations; each moves two matrices of FEATURES squared cells.
 PARTS = 8
 N_STATS = 20
 
@@ -168,8 +169,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
         for half in np.flatnonzero(total.any((1, 2))):
             yield pd.DataFrame({"half": half, "i": np.arange(FEATURES + 1), "v": list(total[half])})
 
-    # the partitions' matrices are added up element by element; the driver gets two of fixed size
-    cells = sample.mapInPandas(normal_equations, "half int, i int, v array<double>").select("half", "i", F.posexplode("v").alias("j", "v"))
+    # at most PARTS matrices are added up element by element, whatever the session's number of shuffle partitions; the driver gets two of fixed size
+    cells = sample.coalesce(PARTS).mapInPandas(normal_equations, "half int, i int, v array<double>").select("half", "i", F.posexplode("v").alias("j", "v"))
     lines = cells.groupBy("half", "i", "j").agg(F.round(F.sum("v"), 9).alias("v")).groupBy("half", "i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("v"))
     sums = np.zeros((2, FEATURES + 1, FEATURES + 2))
     for r in lines.select("half", "i", F.col("v.v").alias("v")).collect():
