@@ -15,14 +15,12 @@ from tallyspark.plans.words import WORDS_SQL, _lines, statement_words
 
 
 def headings(spark, d) -> DataFrame:
-    """Each labelled document's first two words as a heading, its labels as the role."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 1)
-    labels = table(spark, d, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("role"))
-    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("doc"), normalise_heading(F.array_join(words, " ")).alias("heading"), "role")
+    """Each part's name and type as a heading; small parts take their brand as its role, others their type."""
+    role = F.when(F.col("p_type") == "SMALL", F.col("p_brand")).otherwise(F.col("p_type"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("doc"), normalise_heading(F.concat("p_name", F.lit(" "), "p_type")).alias("heading"), role.alias("role"))
 
 
-HEAD_SQL = r"""heads AS (SELECT doc_id AS doc, 'q' || quality || 't' || toxic AS role, trim(regexp_replace(lower(coalesce(regexp_extract(text, '[^\x20\x09-\x0D]+'), '')), '[^a-z0-9/.]+', ' ', 'g')) AS raw FROM documents JOIN labels USING (doc_id)),
+HEAD_SQL = r"""heads AS (SELECT p_partkey AS doc, CASE WHEN p_type = 'SMALL' THEN p_brand ELSE p_type END AS role, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9/.]+', ' ', 'g')) AS raw FROM part),
 toks AS (SELECT doc, role, list_filter(list_transform(string_split(raw, ' '), lambda w: trim(w, '.')), lambda w: w <> '') AS ws FROM heads),
 named AS (SELECT doc, role, CASE WHEN regexp_matches(array_to_string(ws, ' '), '[0-9]') OR len(list_distinct(ws)) > 5 THEN '' ELSE array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), ' ') END AS heading FROM toks)"""
 

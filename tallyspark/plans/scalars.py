@@ -141,13 +141,16 @@ def fn14_shape(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.shape(F.col("c_name")).alias("shape"))
 
 
-@query("fn15_normalise_heading", """WITH h AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') AS raw FROM benchmark),
-w AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(lower(raw), '[^a-z0-9/.]+', ' ', 'g'), ' '), lambda x: trim(x, '.')), lambda x: x <> '') AS ws FROM h),
-u AS (SELECT item_id, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS ws FROM w)
-SELECT item_id, CASE WHEN len(ws) > 5 OR regexp_matches(array_to_string(ws, ' '), '[0-9]') THEN '' ELSE array_to_string(ws, ' ') END AS heading FROM u""")
+@query("fn15_normalise_heading", """WITH h AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_name || ' ' || p_brand WHEN p_partkey % 5 = 0 THEN p_name || ' / ' || p_type || ' per unit of sale' ELSE p_type || '. ' || p_name || ' (' || p_type || ')' END AS raw FROM part),
+w AS (SELECT p_partkey, list_filter(list_transform(string_split(regexp_replace(lower(raw), '[^a-z0-9/.]+', ' ', 'g'), ' '), lambda x: trim(x, '.')), lambda x: x <> '') AS ws FROM h),
+u AS (SELECT p_partkey, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS ws FROM w)
+SELECT p_partkey, CASE WHEN len(ws) > 5 OR regexp_matches(array_to_string(ws, ' '), '[0-9]') THEN '' ELSE array_to_string(ws, ' ') END AS heading FROM u""")
 def fn15_normalise_heading(spark, d):
-    raw = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
-    return table(spark, d, "benchmark").select("item_id", text.normalise_heading(raw).alias("heading"))
+    branded = F.concat("p_name", F.lit(" "), "p_brand")
+    long = F.concat("p_name", F.lit(" / "), "p_type", F.lit(" per unit of sale"))
+    twice = F.concat("p_type", F.lit(". "), "p_name", F.lit(" ("), "p_type", F.lit(")"))
+    raw = F.when(F.col("p_partkey") % 4 == 0, branded).when(F.col("p_partkey") % 5 == 0, long).otherwise(twice)
+    return table(spark, d, "part").select("p_partkey", text.normalise_heading(raw).alias("heading"))
 
 
 @query("fn16_safe_label", "SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'column_' || (p_partkey % 9)::VARCHAR ELSE substr(trim(regexp_replace(lower(p_type || ' / ' || p_name || '!'), '[^a-z0-9]+', '_', 'g'), '_'), 1, 40) END AS label FROM part")
