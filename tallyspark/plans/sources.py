@@ -42,11 +42,11 @@ def _files(spark, d):
     shown = F.when(k % 10 == 0, F.lit("moved/elsewhere/v1")).otherwise(own)
     return table(spark, d, "part").select(
         F.concat(F.lit("r"), F.lpad(k.cast("string"), 9, "0"), F.lit("/"), shown, F.lit(".json")).alias("path"), F.col("p_brand").alias("bank_code"), F.concat(F.lit("layout-"), (F.col("p_size") % 3).cast("string")).alias("layout_id"),
-        (k % 4 + 1).cast("int").alias("version"), F.when(k % 7 == 0, "draft").otherwise("approved").alias("status"),
+        (k % 4 + 1).cast("int").alias("version"), F.when(k % 7 == 0, "candidate").otherwise("approved").alias("status"),
     )
 
 
-REG = "f AS (SELECT 'r' || lpad(p_partkey::VARCHAR, 9, '0') || '/' || CASE WHEN p_partkey % 10 = 0 THEN 'moved/elsewhere/v1' ELSE p_brand || '/layout-' || (p_size % 3) || '/v' || (p_partkey % 4 + 1) END || '.json' AS path, p_brand AS bank_code, 'layout-' || (p_size % 3) AS layout_id, (p_partkey % 4 + 1)::INT AS version, CASE WHEN p_partkey % 7 = 0 THEN 'draft' ELSE 'approved' END AS status, p_partkey % 10 = 0 AS moved FROM part)"
+REG = "f AS (SELECT 'r' || lpad(p_partkey::VARCHAR, 9, '0') || '/' || CASE WHEN p_partkey % 10 = 0 THEN 'moved/elsewhere/v1' ELSE p_brand || '/layout-' || (p_size % 3) || '/v' || (p_partkey % 4 + 1) END || '.json' AS path, p_brand AS bank_code, 'layout-' || (p_size % 3) AS layout_id, (p_partkey % 4 + 1)::INT AS version, CASE WHEN p_partkey % 7 = 0 THEN 'candidate' ELSE 'approved' END AS status, p_partkey % 10 = 0 AS moved FROM part)"
 
 
 @query("src7_registry", f"WITH {REG} SELECT path, bank_code, layout_id, version, status FROM (SELECT *, row_number() OVER (PARTITION BY bank_code, layout_id, version ORDER BY path) AS k FROM f WHERE NOT moved) WHERE k = 1 AND status = 'approved'")
@@ -60,16 +60,21 @@ def src7_load_errors(spark, d):
 
 
 @query("src8_template_problems", """SELECT 't' || p_partkey AS template_id, unnest(list_concat(CASE WHEN p_partkey % 4 = 0 THEN ['bad_version'] ELSE [] END, CASE WHEN p_partkey % 5 = 0 THEN ['unknown_status'] ELSE [] END, CASE WHEN p_partkey % 3 = 0 THEN ['unknown_role'] ELSE [] END,
-CASE WHEN p_size % 2 = 0 THEN ['empty_column'] ELSE [] END, CASE WHEN p_partkey % 6 = 1 THEN ['no_date_column'] ELSE [] END, CASE WHEN p_partkey % 11 = 0 THEN ['rule_without_target'] ELSE [] END)) AS problem FROM part""")
+CASE WHEN p_size % 2 = 0 THEN ['empty_column'] ELSE [] END, CASE WHEN p_partkey % 6 = 1 THEN ['no_date_column'] ELSE [] END, CASE WHEN p_partkey % 11 = 0 THEN ['rule_without_target'] ELSE [] END,
+CASE WHEN p_partkey % 13 = 0 THEN ['unknown_mode'] ELSE [] END, CASE WHEN p_partkey % 17 = 0 THEN ['unknown_strategy'] ELSE [] END, CASE WHEN p_partkey % 19 = 0 THEN ['no_date_formats'] ELSE [] END)) AS problem FROM part""")
 def src8_template_problems(spark, d):
     k = F.col("p_partkey")
     column = lambda role, a, b: F.struct(role.alias("role"), a.alias("x0"), b.alias("x1"), F.lit(None).cast("string").alias("label"))
     first = F.when(k % 6 == 1, "ignore").otherwise("txn_date")
     columns = F.array(column(first, F.lit(1.0), F.lit(2.0)), column(F.when(k % 3 == 0, "nonsense").otherwise("debit"), F.lit(5.0), F.when(F.col("p_size") % 2 == 0, 5.0).otherwise(6.0)))
     rules = F.array(F.struct(F.lit("regex").alias("kind"), F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("header.ifsc"))).alias("targets"), F.array(F.lit(1)).alias("pages"), F.lit("x").alias("pattern")))
+    status = F.array(*map(F.lit, ("lost", "approved", "candidate", "rejected", None)))
+    mode = F.when(k % 13 == 0, "sideways").when(k % 13 != 1, "signed")
+    strategy = F.when(k % 17 == 0, "pictures").when(k % 17 != 1, "word_columns")
+    formats = F.when(k % 19 != 0, F.array(F.lit("%d/%m/%Y")))
     rows = table(spark, d, "part").select(
-        F.concat(F.lit("t"), k.cast("string")).alias("template_id"), (k % 4).cast("int").alias("version"), F.when(k % 5 == 0, "lost").otherwise("approved").alias("status"),
-        F.struct(columns.alias("columns"), F.lit("columns").alias("amount_mode"), F.array(F.lit("%d/%m/%Y")).alias("date_formats")).alias("table"), rules.alias("header_rules"),
+        F.concat(F.lit("t"), k.cast("string")).alias("template_id"), (k % 4).cast("int").alias("version"), F.element_at(status, (k % 5 + 1).cast("int")).alias("status"), strategy.alias("strategy"),
+        F.struct(columns.alias("columns"), mode.alias("amount_mode"), formats.alias("date_formats")).alias("table"), rules.alias("header_rules"),
     )
     return Y.template_problems(rows)
 

@@ -20,7 +20,7 @@ TEMPLATE = (
 )
 # fixed values: what a template may say
 ROLES = ("txn_date", "value_date", "description", "reference", "debit", "credit", "amount", "dr_cr", "balance", "ignore")
-KINDS, STATUSES, MODES = ("regex", "region", "block"), ("draft", "approved", "retired"), ("columns", "signed", "dr_cr")
+KINDS, STATUSES, MODES, STRATEGIES = ("regex", "region", "block"), ("approved", "candidate", "rejected"), ("columns", "signed", "dr_cr"), ("word_columns",)
 
 
 def words_of(layouts: DataFrame) -> DataFrame:
@@ -54,18 +54,24 @@ def parse_layouts(texts: DataFrame) -> DataFrame:
 
 
 def template_problems(templates: DataFrame) -> DataFrame:
-    """(template_id, problem): every rule of the template schema that a file breaks."""
+    """(template_id, problem): every rule of the template schema that a file breaks.
+
+    A missing status is approved, a missing amount mode is columns and a missing
+    strategy is word_columns; none of them is a problem.
+    """
     known = lambda values, column: F.array_except(column, F.array(*[F.lit(v) for v in values]))
     columns = F.col("table.columns")
     roles = F.transform(columns, lambda c: c["role"])
     checks = [
         ("bad_version", F.coalesce(F.col("version"), F.lit(0)) < 1),
-        ("unknown_status", ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))),
+        ("unknown_status", ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(True))),
         ("no_columns", F.coalesce(F.size(columns), F.lit(0)) < 1),
         ("unknown_role", F.size(known(ROLES, roles)) > 0),
         ("empty_column", F.exists(columns, lambda c: ~F.coalesce(c["x0"] < c["x1"], F.lit(False)))),
         ("no_date_column", ~F.array_contains(roles, "txn_date")),
-        ("unknown_mode", ~F.coalesce(F.col("table.amount_mode").isin(*MODES), F.lit(False))),
+        ("unknown_mode", ~F.coalesce(F.col("table.amount_mode").isin(*MODES), F.lit(True))),
+        ("unknown_strategy", ~F.coalesce(F.col("strategy").isin(*STRATEGIES), F.lit(True))),
+        ("no_date_formats", F.col("table.date_formats").isNull()),
         ("unknown_rule", F.exists("header_rules", lambda r: ~F.coalesce(r["kind"].isin(*KINDS), F.lit(False)))),
         ("rule_without_target", F.exists("header_rules", lambda r: F.coalesce(F.size(r["targets"]), F.lit(0)) < 1)),
     ]
@@ -73,7 +79,7 @@ def template_problems(templates: DataFrame) -> DataFrame:
     return templates.select("template_id", F.explode(found).alias("problem"))
 
 
-def registry(files: DataFrame, with_drafts: bool = False) -> DataFrame:
+def registry(files: DataFrame, with_unapproved: bool = False) -> DataFrame:
     """(path, template columns) to the templates that load: identity equal to the path, the first of duplicates, newest first."""
     from pyspark.sql import Window
 
@@ -81,12 +87,12 @@ def registry(files: DataFrame, with_drafts: bool = False) -> DataFrame:
     rows = files.filter(F.regexp_extract("path", r"([^/]+/[^/]+/v\d+)\.json$", 1) == own)
     nth = F.row_number().over(Window.partitionBy("bank_code", "layout_id", "version").orderBy("path"))
     rows = rows.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
-    return rows if with_drafts else rows.filter("status = 'approved'")
+    return rows if with_unapproved else rows.filter("coalesce(status, 'approved') = 'approved'")
 
 
 def load_errors(files: DataFrame) -> DataFrame:
     """(path, error) of the files that do not load."""
-    good = registry(files, with_drafts=True).select("path")
+    good = registry(files, with_unapproved=True).select("path")
     own = F.concat_ws("/", "bank_code", "layout_id", F.concat(F.lit("v"), F.col("version").cast("string")))
     moved = F.regexp_extract("path", r"([^/]+/[^/]+/v\d+)\.json$", 1) != own
     return files.join(good, "path", "left_anti").select("path", F.when(moved, "path_mismatch").otherwise("duplicate").alias("error"))
