@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, htmltext, jaccard, language, licenses, mixing, neardup, quality, search, warc
+from tallyspark.llm import bpe, chat, htmltext, jaccard, language, licenses, mixing, neardup, negatives, quality, search, spelling, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op9_language_id": language.op9_language_id,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_chat_format": chat.op13_chat_format,
 }
 ORACLES = {
     "op2_bm25_topk": search.SQL,
@@ -22,4 +25,7 @@ ORACLES = {
     "op6_embedding_neardup": neardup.SQL,
     "op8_warc": warc.SQL,
     "op10_ngram_jaccard": jaccard.SQL,
+    "op11_hard_negatives": negatives.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_chat_format": chat.SQL,
 }
