@@ -34,6 +34,13 @@ def header_formats(table_formats) -> list[str]:
     return [*table_formats, *[n for n, _ in order if n not in table_formats]]
 
 
+def header_formats_of(formats: Column) -> Column:
+    """``header_formats`` of an array column."""
+    names = lambda pairs: F.array(*[F.lit(n) for n, _ in pairs])
+    order = F.when(F.arrays_overlap(formats, names(MONTH_FIRST + YEARLESS)), names(MONTH_FIRST + YEARLESS + DAY_FIRST)).otherwise(names(CANDIDATES))
+    return F.concat(formats, F.array_except(order, formats))
+
+
 def _form(spark: str) -> str:
     """What a text of a format looks like; failing here is far cheaper than failing to parse."""
     for part, form in (("yyyy", "<4>"), ("yy", "<2>"), ("MMMM", "<w>"), ("MMM", "<3>"), ("M", "<n>"), ("d", "<n>")):
@@ -61,8 +68,25 @@ def _any_form(names) -> str:
     return "|".join(dict.fromkeys(_form(_SPARK[n]) for n in names))
 
 
+def _by_own(clean: Column, formats: Column) -> Column:
+    """A text by the formats that an array column names, in its order."""
+
+    def one(name: Column) -> Column:
+        out = None
+        for known, _ in CANDIDATES:
+            value = by_format(clean, known)
+            out = F.when(name == known, value) if out is None else out.when(name == known, value)
+        return out
+
+    return F.get(F.filter(F.transform(formats, one), lambda x: x.isNotNull()), F.lit(0))
+
+
 def parse_date(text: Column, formats=None) -> Column:
-    """The first format that reads the text; null if none does."""
+    """The first format that reads the text; null if none does. ``formats``: names, or an array column of names."""
+    if isinstance(formats, Column):
+        near = F.when(text.rlike(r"\d"), text)
+        every = _any_form([n for n, _ in CANDIDATES])
+        return bound(normalize_space(near), lambda clean: F.when(clean.rlike(every), _by_own(clean, formats)))
     names = list(formats or [n for n, _ in CANDIDATES])
     # a date is far shorter than most texts, which need not even be normalised
     near = F.when(text.rlike(r"\d"), text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import SPACE, bound, normalize_space
+from tallyspark.functions.text import SPACE, among, bound, normalize_space
 
 # fixed values: marks of currency, of sign, and the form of a number
 CURRENCY = r"(?i)(?:₹|Rs\.?|INR|USD|US\$|\$)"
@@ -28,8 +28,8 @@ def parse_amount(text: Column, empty=EMPTY) -> Column:
     told = lambda ok, value, suffix: F.struct(ok.alias("ok"), value.alias("value"), suffix.alias("suffix"))
 
     def read(raw: Column) -> Column:
-        blank = raw.isin(*empty) if empty else F.lit(False)
-        stripped = _unmarked(raw).isin(*empty) if empty else F.lit(False)
+        blank = among(raw, empty)
+        stripped = among(_unmarked(raw), empty)
         marked = bound(_unmarked(raw), lambda clean: bound(_parts(clean), lambda parts: _amount(raw, clean, parts, empty)))
         # most texts are plain numbers or no numbers at all, and need none of the marks looked for
         return (
@@ -62,7 +62,7 @@ def _parts(clean: Column) -> Column:
 
 def _amount(raw: Column, clean: Column, parts: Column, empty) -> Column:
     number = parts["number"]
-    nothing = raw.isin(*empty) | clean.isin(*empty) if empty else F.lit(False)
+    nothing = among(raw, empty) | among(clean, empty)
     good = number.rlike(NUMBER)
     plain = F.replace(F.regexp_replace(number, r"^[()]+|[()]+$", ""), F.lit(","), F.lit("")).try_cast(EXACT)
     flipped = (number.startswith("(") & number.endswith(")")) | parts["minus"]

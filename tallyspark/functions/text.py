@@ -14,6 +14,13 @@ def bound(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def among(value: Column, members) -> Column:
+    """Whether ``value`` is one of ``members``: literals, or an array column."""
+    if isinstance(members, Column):
+        return F.array_contains(members, value)
+    return value.isin(*members) if members else F.lit(False)
+
+
 def normalize_space(text: Column) -> Column:
     """Single blanks between words, none at the ends; null becomes empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " "))
@@ -74,6 +81,13 @@ def phrase_regex(phrase: str) -> str:
     return rf"(?iU)(?<![\w]){body}(?![\w])"
 
 
+def phrase_pattern(phrase: Column) -> Column:
+    """``phrase_regex`` of a column."""
+    words = F.filter(F.split(phrase, SPACE + "+"), lambda w: w != "")
+    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.concat(F.lit(r"(?iU)(?<![\w])"), F.array_join(quoted, r"\s+"), F.lit(r"(?![\w])"))
+
+
 def has_phrase(text: Column, phrase: str) -> Column:
     return F.coalesce(text.rlike(phrase_regex(phrase)), F.lit(False))
 

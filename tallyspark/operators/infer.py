@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, money
+from tallyspark.functions.text import phrase_pattern
 
 # fixed values: the words of a heading that name a column's role, in this order
 ROLE_WORDS = (
@@ -111,20 +112,26 @@ def first_not_failed(candidates: DataFrame) -> DataFrame:
 def detect(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc, template, rank): templates all of whose markers stand in a text, most markers first.
 
-    Templates are a registry of files (tens), so they are broadcast and each
-    text is read once.
+    A marker is looked for only in texts that have its longest word: markers
+    and the words of texts meet by a join, and what they share is then matched
+    as a whole phrase. So a registry can be of any size, and a text is read
+    once for each marker it may have. A marker without any word is looked for
+    in every text.
     """
-    from tallyspark.functions.text import phrase_regex
-
-    known = [r.asDict() for r in templates.select("template", "bank", "layout", "version", "markers").collect()]
-    hits = []
-    for t in known:
-        found = F.lit(bool(t["markers"]))
-        for m in t["markers"]:
-            found = found & F.coalesce(F.col("text").rlike(phrase_regex(m)), F.lit(False))
-        hits.append(F.when(found, F.struct(F.lit(-len(t["markers"])).alias("k"), F.lit(t["bank"]).alias("bank"), F.lit(t["layout"]).alias("layout"), F.lit(-t["version"]).alias("v"), F.lit(t["template"]).alias("template"))))
-    ranked = F.array_sort(F.array_compact(F.array(*hits)))
-    return pages.select("doc", F.posexplode(ranked).alias("rank", "t")).select("doc", F.col("t.template").alias("template"), "rank")
+    marker = templates.select("template", F.size("markers").alias("n"), F.explode(F.array_distinct("markers")).alias("marker"))
+    runs = F.regexp_extract_all(F.lower("marker"), F.lit(r"((?U)\w+)"), F.lit(1))
+    key = F.array_max(F.transform(runs, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    marker = marker.select("template", "n", "marker", phrase_pattern(F.col("marker")).alias("pattern"), F.coalesce(key, F.lit("")).alias("key"))
+    distinct = marker.select("marker", "pattern", "key").distinct()
+    words = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower("text"), F.lit(r"((?U)\w+)"), F.lit(1))))
+    near = pages.filter("text is not null").select("doc", F.explode(words).alias("key")).join(distinct, "key").select("doc", "marker", "pattern")
+    found = near.join(pages.select("doc", "text"), "doc").filter("text rlike pattern").select("doc", "marker")
+    hits = found.join(marker.select("template", "n", "marker"), "marker").groupBy("doc", "template").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    wanted = marker.groupBy("template").agg(F.count(F.lit(1)).alias("wanted"))
+    known = templates.select("template", "bank", "layout", "version").join(wanted, "template")
+    hits = hits.join(known, "template").filter("m = wanted")
+    order = Window.partitionBy("doc").orderBy(F.col("n").desc(), "bank", "layout", F.col("version").desc(), "template")
+    return hits.select("doc", "template", (F.row_number().over(order) - 1).alias("rank"))
 
 
 def merged_spans(words: DataFrame, reach: Column) -> DataFrame:

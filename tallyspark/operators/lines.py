@@ -46,12 +46,17 @@ def line_starts(ws: Column, tolerance) -> Column:
 
 def group_lines(words: DataFrame, tolerance=TOLERANCE, sort_top: Column | None = None) -> DataFrame:
     """(doc, page, line_no, ws, top, bottom): lines of a page from above, words from the left."""
-    pages = page_words(words, sort_top).withColumn("at", line_starts(F.col("ws"), tolerance))
+    return page_lines(page_words(words, sort_top), tolerance)
+
+
+def page_lines(pages: DataFrame, tolerance, keep=()) -> DataFrame:
+    """Pages of sorted words to lines; ``keep`` names columns of the page that its lines carry on."""
+    pages = pages.withColumn("at", line_starts(F.col("ws"), tolerance))
     cut = F.transform(
         F.col("at"),
         lambda s, k: F.slice(F.col("ws"), s + 1, F.coalesce(F.try_element_at(F.col("at"), k + 2), F.size("ws")) - s),
     )
-    lines = pages.select("doc", "page", F.posexplode(cut).alias("line_no", "ws"))
+    lines = pages.select("doc", "page", *keep, F.posexplode(cut).alias("line_no", "ws"))
     ordered = F.array_sort(F.transform("ws", lambda w, k: F.struct(w["x0"].alias("x0"), k.alias("k"), w["seq"].alias("seq"), w["text"].alias("text"), w["x1"].alias("x1"), w["top"].alias("top"), w["bottom"].alias("bottom"))))
     lines = lines.withColumn("ws", ordered)
     return lines.withColumns({
@@ -99,11 +104,31 @@ def assign_columns(lines: DataFrame, columns: list[tuple], margin=MARGIN) -> Dat
     return rows.withColumns({"fits": fits, "cells": F.when(fits, kept)}).drop("__placed")
 
 
-def is_header_line(ws: Column, tokens: list[str], least: int) -> Column:
-    if not tokens:
-        return F.lit(False)
-    known = F.array(*[F.lit(t) for t in tokens])
-    return (F.size(ws) >= least) & F.forall(ws, lambda w: F.array_contains(known, w["text"]))
+def assign_own_columns(lines: DataFrame, columns: Column, margin=MARGIN) -> DataFrame:
+    """``assign_columns`` by the grid that stands in the row: an array of (key, x0, x1), sorted by x0."""
+    at = lambda k: F.element_at(columns, k)
+    left, right = at(F.lit(1))["x0"] - margin, at(F.lit(-1))["x1"] + margin
+
+    def place(w: Column) -> Column:
+        mid = (w["x0"] + w["x1"]) / 2
+        first = F.get(F.filter(F.sequence(F.lit(1), F.size(columns)), lambda k: (mid >= at(k)["x0"]) & (mid < at(k)["x1"])), F.lit(0))
+        good = (w["x0"] >= left) & (w["x1"] <= right) & (w["x0"] >= at(first)["x0"] - 3 * margin) & (w["x1"] <= at(first)["x1"] + 3 * margin)
+        return F.when(first.isNotNull() & good, first)
+
+    rows = lines.withColumn("__placed", F.transform("ws", lambda w: F.struct(place(w).alias("c"), w["text"].alias("text"))))
+    own = lambda k: F.transform(F.filter("__placed", lambda p: p["c"] == k), lambda p: p["text"])
+    cells = F.transform(F.sequence(F.lit(1), F.size(columns)), lambda k: F.struct(at(k)["key"].alias("role"), own(k).alias("words")))
+    fits = F.forall("__placed", lambda p: p["c"].isNotNull())
+    return rows.withColumns({"fits": fits, "cells": F.when(fits, F.filter(cells, lambda c: F.size(c["words"]) > 0))}).drop("__placed")
+
+
+def is_header_line(ws: Column, tokens, least) -> Column:
+    """Whether all words of a line are header tokens (a list, or an array column), and there are enough of them."""
+    if not isinstance(tokens, Column):
+        if not tokens:
+            return F.lit(False)
+        tokens = F.array(*[F.lit(t) for t in tokens])
+    return (F.size(tokens) > 0) & (F.size(ws) >= least) & F.forall(ws, lambda w: F.array_contains(tokens, w["text"]))
 
 
 def starts_row(ws: Column, x0, x1, margin=MARGIN) -> Column:

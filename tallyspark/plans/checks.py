@@ -126,15 +126,16 @@ def val5_check_results(spark, d):
     return v.check_results(ledger(spark, d), headers(spark, d)).select("doc", "check", "status", "rows_checked")
 
 
-@query(
-    "val5_report",
-    f"""{_RESULTS}
-SELECT doc, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN NOT bool_or("check" IN ('balance_chain', 'reconciliation') AND status = 'PASS') OR bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END AS status,
-       NOT bool_or(status = 'FAIL') AND bool_or("check" IN ('balance_chain', 'reconciliation') AND status = 'PASS') AS verified,
-       any_value(status) FILTER (WHERE "check" = 'balance_chain') AS balance_chain, any_value(status) FILTER (WHERE "check" = 'reconciliation') AS reconciliation,
-       any_value(status) FILTER (WHERE "check" = 'rows') AS rows, any_value(status) FILTER (WHERE "check" = 'header') AS header
-FROM results GROUP BY doc""",
-)
+REPORT_SQL = f"""{_RESULTS},
+report AS (
+  SELECT doc, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN NOT bool_or("check" IN ('balance_chain', 'reconciliation') AND status = 'PASS') OR bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END AS status,
+         NOT bool_or(status = 'FAIL') AND bool_or("check" IN ('balance_chain', 'reconciliation') AND status = 'PASS') AS verified,
+         any_value(status) FILTER (WHERE "check" = 'balance_chain') AS balance_chain, any_value(status) FILTER (WHERE "check" = 'reconciliation') AS reconciliation,
+         any_value(status) FILTER (WHERE "check" = 'rows') AS rows, any_value(status) FILTER (WHERE "check" = 'header') AS header
+  FROM results GROUP BY doc)"""
+
+
+@query("val5_report", f"{REPORT_SQL} SELECT * FROM report")
 def val5_report(spark, d):
     return v.reports(v.check_results(ledger(spark, d), headers(spark, d)))
 
