@@ -11,9 +11,15 @@ attributes and style elements (media rules as on a screen of ``SCREEN`` pixels;
 a rule that is not fully understood never hides but may show), closed ``details`` but
 for the summary, and dialogs that are not open. Form controls show their value.
 
-Neither building nor rendering recurses or walks over the open elements, and the
-scanner has one way to read a text, so the time of a page grows with its length,
-whatever its nesting. Each page is done by itself in one narrow pass, in whole.
+Neither building nor rendering recurses or walks over the open elements, and no
+pattern has two ways to read a text, so the time of a page grows with its length,
+whatever its nesting. So does what it writes: at most ``DEEPEST`` levels are
+indented; a column is as wide as its longest cell of up to ``WIDE`` times its
+mean (longer ones push the rest of their line to the right); columns that only
+spans lie over have no width; rows spanned over are kept for the first
+``COLUMNS`` columns; and a table of which more than ``PADDED`` times its text
+would be blanks is written with two blanks between cells and no columns. Each
+page is done by itself in one narrow pass, in whole.
 
 Defined cases: a null or empty page gives the empty text; text without tags is
 kept as it is, with white space collapsed; an unfinished tag or comment at the
@@ -24,6 +30,7 @@ column are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from html import unescape
 
@@ -53,7 +60,9 @@ PARTS = frozenset(("tbody", "thead", "tfoot"))
 LISTS = frozenset("ul ol menu dir".split())
 SPACE = " \t\n\r\f"
 #: Levels of lists and quotations that are indented; deeper ones stand under the last of them.
-DEEPEST = 64
+DEEPEST = 8
+#: What bounds the alignment of tables; see above.
+WIDE, PADDED, COLUMNS = 4, 4, 256
 
 # Each character of a page is read once or twice: no pattern here has two ways to read a text.
 _COMMENT_END = re.compile(r"--!?>")
@@ -63,10 +72,9 @@ _BARE = re.compile(r"[^\s>]*+")
 # a sheet's tokens: strings, braces, semicolons and what is between them
 _CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]|(?:[^{};\"'\\]|\\.)+|.", re.S)
 _AT = re.compile(r"@([\w-]+)(.*)\Z", re.S)
-_IMPORTANT = re.compile(r"\s*!\s*important\s*\Z")
 _IDENT = r"(?:[\w-]|[^\x00-\x7f]|\\.)+"
-_PART = re.compile(rf"(?P<kind>[.#]?)(?P<name>{_IDENT})|(?P<all>\*)|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:\"(?P<dq>[^\"]*)\"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*[iIsS]?\s*)?\]|(?P<pseudo>::?[\w-]+)(?P<open>\()?")
-_JOIN = re.compile(r"\s*([>+~])\s*|\s+")
+_PART = re.compile(rf"(?P<kind>[.#]?)(?P<name>{_IDENT})|(?P<all>\*)|\[\s*+(?P<attr>[\w-]++)\s*+(?:(?P<op>[~|^$*]?=)\s*+(?:\"(?P<dq>[^\"]*+)\"|'(?P<sq>[^']*+)'|(?P<bare>[^\]\s]++))\s*+(?:[iIsS]\s*+)?)?\]|(?P<pseudo>::?[\w-]+)(?P<open>\()?")
+_JOIN = re.compile(r"\s*+([>+~])\s*+|\s++")
 _ESCAPED = re.compile(r"\\(?:([0-9a-fA-F]{1,6})\s?|(.))")
 _LENGTH = re.compile(r"\(\s*(min-|max-)?(?:device-)?(width|height)\s*:\s*(\d*\.?\d+)(px|em|rem)?\s*\)")
 _RANGE = re.compile(r"\(\s*(width|height)\s*(<=?|>=?|=)\s*(\d*\.?\d+)(px|em|rem)?\s*\)")
@@ -302,8 +310,9 @@ def declared(text: str) -> dict[str, tuple[bool, bool]]:
         name, value = name.strip(), value.strip()
         if name not in ("display", "visibility") or not value:
             continue
-        important = bool(_IMPORTANT.search(value))
-        value = _IMPORTANT.sub("", value)
+        before = value.removesuffix("important").rstrip()
+        important = before != value and before.endswith("!")
+        value = before[:-1].rstrip() if important else value
         if name == "visibility" and value not in ("visible", "initial", "hidden", "collapse"):
             continue  # inherited
         if important or not out.get(name, (False,))[0]:
@@ -328,12 +337,12 @@ def _feature(text: str) -> bool | None:
 def on_screen(media: str) -> bool | None:
     """Whether a media query list holds on ``SCREEN``; None if that is not known."""
     out: bool | None = False
-    for query in re.sub(r"/\*.*?\*/", "", media, flags=re.S).lower().split(","):
-        query = query.strip()
+    for query in re.sub(r"/\*.*?(?:\*/|\Z)", "", media, flags=re.S).lower().split(","):
+        query = " ".join(query.split())
         negated = query.startswith("not ")
         query = re.sub(r"^(?:not|only)\s+", "", query)
         got: bool | None = True
-        for part in re.split(r"\s*\band\b\s*", query):
+        for part in re.split(r" ?\band\b ?", query):
             got = _both(got, True if part in ("", "all", "screen") else _feature(part) if part[0] == "(" else False if part.isalpha() else None)
         got = not got if negated and got is not None else got
         out = True if out or got else None if out is None or got is None else False
@@ -384,7 +393,7 @@ def chains(text: str) -> list[tuple[list[tuple[str, dict]], tuple[int, int, int]
     and whether they say all of it. Those of states that a page at rest is not in are left out;
     nothing if the list is not understood."""
     out = []
-    text = re.sub(r"\s*,\s*", ",", text.strip())
+    text = ",".join(part.strip() for part in text.split(","))
     at, n = 0, len(text)
     while at <= n:
         chain: list[tuple[str, dict]] = []
@@ -579,48 +588,64 @@ class Writer:
 
 
 class Grid:
-    """A table's cells as they are met: (row, column) to lines, with spans."""
+    """A table's cells as they are met: (column, span, lines) by row."""
 
     def __init__(self):
         self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.taken: dict[int, int] = {}
+        #: For each of the first columns, the number of the row that it is free in again.
+        self.free = [0] * COLUMNS
         self.column = 0
 
     def row(self) -> None:
-        if self.rows:
-            self.taken = {c: left - 1 for c, left in self.taken.items() if left > 1}
         self.rows.append([])
         self.column = 0
 
     def cell(self, attrs: dict[str, str], lines: list[str]) -> None:
         if not self.rows:
             self.row()
-        while self.column in self.taken:
+        now = len(self.rows) - 1
+        while self.column < COLUMNS and self.free[self.column] > now:
             self.column += 1
         span, deep = _number(attrs.get("colspan"), 1, 1, 1000), _number(attrs.get("rowspan"), 1, 1, 65534)
         self.rows[-1].append((self.column, span, lines))
         if deep > 1:
-            # counted down when the next row begins
-            self.taken.update(dict.fromkeys(range(self.column, self.column + span), deep))
+            for c in range(self.column, min(self.column + span, COLUMNS)):
+                self.free[c] = now + deep
         self.column += span
 
-    def lines(self) -> list[str]:
-        widths: dict[int, int] = {}
+    def offsets(self) -> tuple[list[int], list[int]]:
+        """The columns that have a width, and where each and what follows the last begins."""
+        cells: dict[int, list[int]] = {}
         for row in self.rows:
             for at, span, lines in row:
                 if span == 1:
-                    widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
+                    cells.setdefault(at, []).append(max(map(len, lines), default=0))
+        columns, starts = sorted(cells), [0]
+        for c in columns:
+            most = WIDE * (sum(cells[c]) / len(cells[c]) + WIDE)
+            starts.append(starts[-1] + max((n for n in cells[c] if n <= most), default=0) + 2)
+        return columns, starts
+
+    def lines(self) -> list[str]:
+        columns, starts = self.offsets()
+        start = lambda column: starts[bisect_left(columns, column)]
+        heights = [max((len(x[2]) for x in row), default=0) for row in self.rows]
+        text = sum(len(line) - line.count(" ") + 2 for row in self.rows for *_, lines in row for line in lines or [""])
+        padded = sum(start(row[-1][0]) * h for row, h in zip(self.rows, heights, strict=True) if row)
+        aligned = padded <= PADDED * text
         out = []
-        for row in self.rows:
-            for k in range(max((len(x[2]) for x in row), default=0)):
-                text, at = "", 0
-                for column, span, lines in row:
-                    pad = sum(widths.get(c, 0) + 2 for c in range(at, column)) if column > at else 0
-                    text += " " * pad
-                    room = sum(widths.get(c, 0) + 2 for c in range(column, column + span)) - 2
-                    text += (lines[k] if k < len(lines) else "").ljust(max(room, 0)) + "  "
-                    at = column + span
-                out.append(text.rstrip())
+        for row, height in zip(self.rows, heights, strict=True):
+            at = [start(column) for column, *_ in row] if aligned else [0] * len(row)
+            for k in range(height):
+                line, long = [], 0
+                for place, (*_, lines) in zip(at, row, strict=True):
+                    cell = lines[k] if k < len(lines) else ""
+                    blanks = max(place - long, 0 if aligned or not line else 2)
+                    if aligned and line and cell:
+                        blanks = max(blanks, 2 if long and line[-1][-1:] not in ("", " ") else 0)
+                    line.append(" " * blanks + cell)
+                    long += blanks + len(cell)
+                out.append("".join(line).rstrip())
         return out
 
 

@@ -101,6 +101,50 @@ def test_hard_pages_take_time_by_their_length(k):
     assert time.time() - start < 10
 
 
+#: Small pages that once took seconds or wrote thousands of times their length.
+SHORT = [
+    "<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 200, "<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 400, "<table><tr><td>" + "word " * 10_000 + "<td>a" + "<tr><td>b<td>c" * 800,
+    '<p style="display:a' + " " * 40_000 + 'b">x', "<style>a" + " " * 20_000 + "b{display:none}</style>x", "<style>[a=b" + " " * 20_000 + "{display:none}</style>x", "<style>a" + " ," * 20_000 + "{display:none}</style>x",
+    "<style media='screen" + " " * 20_000 + "x'>a{}</style>x", "<style>@media screen" + " " * 20_000 + "x{a{}}</style>x" + "<style media='" + "/*" * 10_000 + "'></style>", "<table><tr>" + "<td rowspan=65534>y" * 300 + "<tr><td>x" * 2000,
+    "<blockquote>" * 100 + "x<br>" * 5000, "<table><tr>" + "<td>" * 300 + "z" + "<tr><td colspan=299><td>q" * 500, ("<table><tr><td>" + "w" * 50 + "<td>") * 30 + "v",
+]
+
+
+@pytest.mark.parametrize("k", range(len(SHORT)))
+def test_short_pages_are_quick_and_write_little(k):
+    start = time.time()
+    text = page_text(SHORT[k])
+    assert time.time() - start < 0.5 and len(text) < 10 * len(SHORT[k])
+
+
+def slow_table(rows):
+    """Lines of a plain table (one line to a cell, no spans) by the rule of the docstring, column by column."""
+    columns = [[r[c] for r in rows if c < len(r)] for c in range(max(map(len, rows)))]
+    widths = [max((len(x) for x in col if len(x) <= 4 * (sum(map(len, col)) / len(col) + 4)), default=0) + 2 for col in columns]
+    padded = sum(sum(widths[: len(r) - 1]) for r in rows)
+    aligned = padded <= 4 * sum(len(x.replace(" ", "")) + 2 for r in rows for x in r)
+    out = []
+    for r in rows:
+        line = ""
+        for c, x in enumerate(r):
+            if aligned:
+                line = line.ljust(sum(widths[:c]))
+                line += "  " if line and line[-1] != " " and x else ""
+            else:
+                line += "  " if c else ""
+            line += x
+        out.append(line.rstrip())
+    return out
+
+
+def test_tables_against_a_slow_renderer():
+    rng = random.Random(3)
+    for _ in range(300):
+        rows = [["x" * rng.choice([1, 2, 3, 5, 8, 40, 300]) for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(1, 12))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in r) for r in rows)
+        assert page_text(html).split("\n") == slow_table(rows)
+
+
 def test_a_cut_off_tag_is_dropped():
     assert page_text("seen<a " + 'x="y" ' * 40) == "seen"
     assert page_text("seen<a href='x>lost</a>") == "seenlost"
