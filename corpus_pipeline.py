@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, jaccard, language, mixing, quality
-from tallyspark.llm.common import materialise, table
+from tallyspark.llm.common import discard, materialise, table
 
 #: A language is taken as known from this cosine with its prototype on. Of random vectors of this size
 #: the best of a few prototypes is under it in about 98 cases of 100; learned rows of at least
@@ -63,8 +63,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents; what a stage keeps is a table that the next one reads."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over all documents; what a stage keeps is a table that the next one reads, and deleted when that has been written."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), "stage")
+        if read is not None:
+            discard(read)
+        read = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import bounded_batches, table
 
 #: Pieces of more bytes than this are encoded but not kept.
-CACHE_PIECES, CACHE_BYTES = 300_000, 64
+CACHE_PIECES, CACHE_BYTES = 100_000, 64
 NONE = 1 << 62
 PLACE = 32
 # fixed value: the split of byte-level pre-tokenizers with use_regex

@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import bounded_batches, discard, materialise, sample_below, table
@@ -49,10 +49,15 @@ SIMILARITY = 0.8
 TREES, DEPTH = 32, 8
 #: Probability with which the audited links are to be found, and the measured share below which prefixes are shortened again.
 RECALL, AUDIT_RECALL = 0.999, 0.99
-#: Texts compared with all others, and the most shingles one of them may have; both bound what is sent to every task.
-AUDIT_TEXTS, AUDIT_SHINGLES = 300, 5_000
+#: Texts compared with all others: about so many of all, and of those of at least LONG_CHARS characters; and the
+#: shingles of the long ones together. They bound what is sent to every task.
+AUDIT_TEXTS, LONG_TEXTS, LONG_SHINGLES = 300, 60, 1 << 20
 #: Texts of up to so many shingles form a class with a prefix length of its own; longer ones are the last class.
-CLASSES = (32, 256)
+CLASSES = (32, 256, 4096)
+#: A text of more than 4,096 shingles has at least so many characters.
+LONG_CHARS = 2 * CLASSES[-1]
+#: Shingles of so many texts are compared with the sample at a time.
+AT_ONCE = 128
 #: Texts of a group that are compared with each other in one task, and the bytes of their shingles; larger groups are compared block by block.
 BLOCK, BLOCK_BYTES = 2048, 64 << 20
 #: Keys of group members that are broadcast at most; more are joined by a shuffle.
@@ -130,7 +135,7 @@ class Audit:
             many = self.many[at[part]]
             owner = self.owner[np.repeat(self.first[at[part]] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
             low, m = text[part[0]], len(self.keys)
-            shared = np.bincount((np.repeat(text[part], many) - low) * m + owner).astype(np.int64)
+            shared = np.bincount((np.repeat(text[part], many) - low) * m + owner.astype(np.int64)).astype(np.int64)
             seen = np.flatnonzero(shared)
             t, i = seen // m + low, seen % m
             near = shared[seen] / (self.sizes[i] + sizes[t] - shared[seen])
@@ -141,21 +146,31 @@ class Audit:
 
 
 def audit_sample(docs: DataFrame) -> Audit:
-    """About ``AUDIT_TEXTS`` distinct texts drawn by the hash of their key."""
-    rows = docs.count()
+    """About ``AUDIT_TEXTS`` distinct texts drawn by the hash of their key, and more of the long ones, which are rare.
+
+    Long texts of any length are taken, in the order of their hash, until they
+    have ``LONG_SHINGLES`` together; the first is taken whatever its length.
+    """
+    long = F.coalesce(F.length("text") >= LONG_CHARS, F.lit(False))
+    rows, many = docs.agg(F.count(F.lit(1)), F.count_if(long)).first()
 
     @F.pandas_udf("binary")
     def marks_of(text: pd.Series) -> pd.Series:
         return pd.Series([shingles(t).tobytes() for t in text], dtype=object)
 
-    drawn = docs.select(key_of(F.col("text")).alias("k"), "text").filter(sample_below(F.col("k"), AUDIT_TEXTS / max(rows, 1)))
-    each = drawn.groupBy("k").agg(F.first("text").alias("text")).select("k", marks_of("text").alias("marks"))
-    found = each.filter((F.length("marks") > 0) & (F.length("marks") <= 8 * AUDIT_SHINGLES)).orderBy("k").limit(2 * AUDIT_TEXTS).collect()
+    share = AUDIT_TEXTS / max(rows, 1)
+    keyed = docs.select(key_of(F.col("text")).alias("k"), "text", long.alias("long"))
+    drawn = keyed.filter(F.when(F.col("long"), sample_below(F.col("k"), max(share, LONG_TEXTS / max(many, 1)))).otherwise(sample_below(F.col("k"), share)))
+    each = drawn.groupBy("k").agg(F.first("text").alias("text"), F.first("long").alias("long")).select("k", "long", marks_of("text").alias("marks")).filter(F.length("marks") > 0)
+    short = each.filter("not long").orderBy("k").limit(2 * AUDIT_TEXTS).select("k", "marks")
+    before = F.sum(F.length("marks") / 8).over(Window.partitionBy("long").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    longer = each.filter("long").orderBy("k").limit(2 * (AUDIT_TEXTS + LONG_TEXTS)).withColumn("before", F.coalesce(before, F.lit(0.0))).filter(F.col("before") + F.when(F.col("before") > 0, F.length("marks") / 8).otherwise(0) <= LONG_SHINGLES)
+    found = sorted(short.unionByName(longer.select("k", "marks")).collect(), key=lambda r: bytes(r["k"]))
     sets = [np.frombuffer(bytes(r["marks"]), np.uint64) for r in found]
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     order = np.argsort(flat, kind="stable")
-    return Audit([bytes(r["k"]) for r in found], sizes, flat[order], np.repeat(np.arange(len(sets)), sizes)[order])
+    return Audit([bytes(r["k"]) for r in found], sizes, flat[order], np.repeat(np.arange(len(sets), dtype=np.int16), sizes)[order])
 
 
 def representatives(docs: DataFrame, audit: Audit, similarity: float) -> DataFrame:
@@ -167,7 +182,7 @@ def representatives(docs: DataFrame, audit: Audit, similarity: float) -> DataFra
         return pd.DataFrame({
             "sig": pd.Series([signature(s) if len(s) else None for s in sets], dtype=object),
             "size": [len(s) for s in sets],
-            "audited": pd.Series(audit.links(sets, list(map(bytes, key)), similarity), dtype=object),
+            "audited": pd.Series([x for s in range(0, len(sets), AT_ONCE) for x in audit.links(sets[s : s + AT_ONCE], [bytes(k) for k in key[s : s + AT_ONCE]], similarity)], dtype=object),
         })
 
     keyed = docs.select("doc_id", "text", key_of(F.col("text")).alias("k"))

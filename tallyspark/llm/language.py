@@ -16,7 +16,7 @@ none.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and
 only such a text: one unlike all prototypes gets the nearest, with a score down
-to 0; a text of more than ``BLOCK_CHARS`` characters is the sum of its parts; a
+to 0; a text of more than ``PART_CHARS`` characters is the sum of its parts; a
 null language teaches nothing; with nothing to learn from all texts are
 ``und``; equal cosines go to the first language by name; a null doc_id is not
 held out and teaches nothing; repeated rows give repeated rows.
@@ -40,7 +40,9 @@ SEED = 20240101
 #: Bound of the labelled sample that prototypes are learned from.
 TRAIN_ROWS = 20_000
 #: Texts in one block of the matrix product, characters at most before a block is closed, and n-grams bound at a time.
-BLOCK_ROWS, BLOCK_CHARS, GRAMS = 128, 2_000_000, 8_192
+BLOCK_ROWS, BLOCK_CHARS, GRAMS = 128, 250_000, 8_192
+#: A longer text is the sum of its parts.
+PART_CHARS = 2_000_000
 UNKNOWN = "und"
 
 
@@ -118,11 +120,11 @@ def text_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
 
 
 def pieces(text: str) -> list[str]:
-    """A very long text in parts of at most ``BLOCK_CHARS``, cut at blanks where there are any."""
+    """A very long text in parts of at most ``PART_CHARS``, cut at blanks where there are any."""
     out, at = [], 0
-    while len(text) - at > BLOCK_CHARS:
-        cut = text.rfind(" ", at + BLOCK_CHARS // 2, at + BLOCK_CHARS)
-        cut = cut if cut > 0 else at + BLOCK_CHARS
+    while len(text) - at > PART_CHARS:
+        cut = text.rfind(" ", at + PART_CHARS // 2, at + PART_CHARS)
+        cut = cut if cut > 0 else at + PART_CHARS
         out.append(text[at:cut])
         at = cut
     return [*out, text[at:]]

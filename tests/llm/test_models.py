@@ -71,6 +71,7 @@ def test_grams_in_pieces_and_long_texts(monkeypatch):
     monkeypatch.setattr(L, "GRAMS", 50)
     assert np.array_equal(L.vectors(texts), whole)
     monkeypatch.setattr(L, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(L, "PART_CHARS", 60)
     spaced = [" ".join(t[k : k + 7] for k in range(0, len(t), 7)) for t in texts]
     assert all(len(p) <= 60 for t in spaced for p in L.pieces(t)) and "".join(L.pieces(spaced[0])) == spaced[0]
     assert np.array_equal(L.vectors(spaced), L.text_vectors(spaced))

@@ -79,9 +79,9 @@ def sampled(sizes):
 
 
 def test_prefixes_are_as_long_as_the_audited_links_allow():
-    assert J.prefix_lengths(sampled([]), {}) == [7, 7, 7]
+    assert J.prefix_lengths(sampled([]), {}) == [7, 7, 7, 7]
     close, far = {98: 5}, {80: 1}
-    assert J.prefix_lengths(sampled([10, 100, 1000]), {0: close, 1: far, 2: close}) == [8, 7, 8]
+    assert J.prefix_lengths(sampled([10, 100, 1000]), {0: close, 1: far, 2: close}) == [8, 7, 8, 7]
     # many links of one close group do not hide a few far ones
     assert J.prefix_lengths(sampled([100, 100]), {0: {99: 50_000}, 1: far})[1] == 7
     assert J.meeting(0.8, 7) >= 0.999 > J.meeting(0.8, 8)
@@ -129,6 +129,27 @@ def test_the_audit_counts_true_links(spark):
     assert len(audit.keys) == len(set(texts))
 
 
+def test_long_texts_are_audited_and_found(spark):
+    words = [f"w{i}" for i in range(6_000)]
+    near = [" ".join(words[:k] + [f"new{k}"] + words[k + 1 :]) for k in range(0, 6_000, 1_500)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate([*near, *[sentence(s) for s in range(40)]])])
+    audit = J.audit_sample(docs)
+    long = np.flatnonzero(audit.sizes > J.CLASSES[-1])
+    assert len(long) == len(near) and set(J.class_of(audit.sizes[long])) == {len(J.CLASSES)}
+    true = J.audited_links(J.representatives(docs, audit, 0.8))
+    assert all(sum(true[a].values()) == len(near) - 1 for a in long)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.join(docs).collect()}
+    assert [got[i] for i in range(len(near))] == [(0, len(near) - 1)] * len(near) and all(got[i] == (i, 0) for i in range(len(near), 44))
+
+
+def test_long_texts_in_the_sample_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(J, "LONG_SHINGLES", 9_000)
+    docs = documents(spark, [(i, " ".join(f"w{i}x{k}" for k in range(5_000)), "en", "a") for i in range(5)])
+    assert len(J.audit_sample(docs).keys) == 1
+    monkeypatch.setattr(J, "LONG_SHINGLES", 10)
+    assert len(J.audit_sample(docs).keys) == 1
+
+
 def test_low_recall_shortens_prefixes_and_then_is_an_error(spark, monkeypatch):
     docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(variants(1, 6, 3))])
     seen = []
@@ -137,7 +158,7 @@ def test_low_recall_shortens_prefixes_and_then_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(J, "measured_recall", lambda *a: {1: 0.5} if len(seen) < 3 else {})
     J.join(docs).collect()
     assert len(seen) == 3 and seen[2] < seen[0]
-    monkeypatch.setattr(J, "prefix_lengths", lambda *a: [1, 1, 1])
+    monkeypatch.setattr(J, "prefix_lengths", lambda *a: [1] * (len(J.CLASSES) + 1))
     monkeypatch.setattr(J, "measured_recall", lambda *a: {1: 0.5})
     with pytest.raises(RuntimeError, match="0.500"):
         J.join(docs)
