@@ -91,10 +91,10 @@ def candidate_labels(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(parts, label_before), lambda x: x != ""))
 
 
-def heading_runs(text: Column, tokens: list[str]) -> Column:
-    """Runs of two or more label words on lines that hold heading words only."""
+def heading_runs(text: Column, tokens) -> Column:
+    """Runs of two or more label words on lines that hold heading words only (a list, or an array column)."""
     known = F.array(*[F.lit(w) for w in LABEL_WORDS])
-    heads = F.array(*[F.lit(t) for t in tokens])
+    heads = tokens if isinstance(tokens, Column) else F.array(*[F.lit(t) for t in tokens])
     words_of = lambda line: F.regexp_extract_all(line, F.lit(r"[^\s]+"), F.lit(0))
     lines = F.filter(F.transform(F.split(text, "\n"), words_of), lambda ws: (F.size(ws) > 0) & F.forall(ws, lambda w: F.array_contains(heads, w)))
 
