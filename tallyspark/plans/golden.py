@@ -247,10 +247,3 @@ def set1_flags_minus_missing(spark, d):
     flags = F.array(F.lit("c"), F.lit("a"), F.lit("a"), F.lit("b"))
     missing = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("b")))
     return table(spark, d, "part").select("p_partkey", F.array_sort(F.array_except(flags, missing)).alias("flags"))
-
-
-@query("gld1_snapshot", f"WITH {P.CTE} SELECT e AS id, document_id FROM ev")
-def gld1_snapshot(spark, d):
-    return P.extractions(spark, d).select("id", "document_id", "created_at", "template_id").drop("created_at", "template_id")
-
-
