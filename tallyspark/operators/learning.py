@@ -191,3 +191,28 @@ def label_words_in(value: Column) -> Column:
 def with_text_status(status: Column, text_status: Column) -> Column:
     """A passed report becomes a warning where the text check warns."""
     return F.when((status == "PASS") & (text_status == "WARN"), "WARN").otherwise(status)
+
+
+def recorded_examples(approvals: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Training examples from approvals: (example_key, kind, document_id, template_id, extraction_id, occurred_at).
+
+    Each approval (document_id, approved_at, source) takes the document's latest
+    extraction (id, document_id, template_id, created_at) that is not younger, by
+    one window over both in the order of time; approvals without one record
+    nothing. The key is a hash of what the example says, so recording again adds
+    nothing, and equal approvals are one example.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    made = extractions.select("document_id", F.col("created_at").alias("at"), F.lit(0).alias("side"), F.col("id").cast("long").alias("id"), "template_id", none("string").alias("source"))
+    asked = approvals.select("document_id", F.col("approved_at").alias("at"), F.lit(1).alias("side"), none("long").alias("id"), none("string").alias("template_id"), "source")
+    before = Window.partitionBy("document_id").orderBy("at", "side", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.last(F.when(F.col("side") == 0, F.struct("id", "template_id")), ignorenulls=True).over(before)
+    rows = made.unionByName(asked).withColumn("latest", latest).filter("side = 1 and latest is not null")
+    said = F.to_json(F.struct(F.lit("approval").alias("kind"), "document_id", F.col("latest.template_id").alias("template_id"), F.col("latest.id").alias("extraction_id"), "source"))
+    rows = rows.select(F.sha2(said.cast("binary"), 256).alias("example_key"), F.lit("approval").alias("kind"), "document_id", F.col("latest.template_id").alias("template_id"), F.col("latest.id").alias("extraction_id"), F.col("at").alias("occurred_at"))
+    return rows.groupBy("example_key", "kind", "document_id", "template_id", "extraction_id").agg(F.min("occurred_at").alias("occurred_at"))
+
+
+def new_examples(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Examples whose key is not known yet."""
+    return found.join(known.select("example_key"), "example_key", "left_anti")
