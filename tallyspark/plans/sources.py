@@ -9,6 +9,7 @@ from tallyspark.plans.registry import query
 from tallyspark.plans.words import WORDS_SQL, words
 from tallyspark.sources import layouts as Y
 from tallyspark.sources import statements as T
+from tallyspark.sources.tables import stored
 
 
 @query("src5_recorded_layouts", f"WITH RECURSIVE {WORDS_SQL} SELECT doc, page, (seq - min(seq) OVER (PARTITION BY doc, page))::INT AS seq, text, x0 / 10.0::DOUBLE AS x0, x1 / 10.0::DOUBLE AS x1, top / 10.0::DOUBLE AS top, bottom / 10.0::DOUBLE AS bottom FROM words")
@@ -79,6 +80,36 @@ def src8_template_problems(spark, d):
     return Y.template_problems(rows)
 
 
+def _template_files(spark, d):
+    """A file per part: whole templates, and some with one mistake or another by part number."""
+    rows = _files(spark, d).select("path", "bank_code", "layout_id", "version", "status", F.regexp_extract("path", r"^r0*(\d+)/", 1).cast("int").alias("k"))
+    k = F.col("k")
+    column = F.struct(F.lit("txn_date").alias("role"), F.lit(1.0).alias("x0"), F.when(k % 11 == 1, 1.0).otherwise(9.0).alias("x1"))
+    table_of = F.struct(F.array(column).alias("columns"), F.array(F.lit("%d/%m/%Y")).alias("date_formats"), F.when(k % 2 == 0, 4.5).alias("line_tolerance"), F.when(k % 3 == 0, F.array(F.lit("nil"))).alias("empty_tokens"))
+    rule = F.struct(F.lit("regex").alias("kind"), F.array(F.when(k % 13 == 1, "header.nonsense").otherwise("header.extra.x")).alias("targets"), F.lit("x").alias("pattern"))
+    text = F.to_json(F.struct(F.when(k % 17 == 1, 2).otherwise(1).alias("format"), "bank_code", F.when(k % 19 != 1, "Bank").alias("bank_name"), "layout_id", "version", "status", F.array(F.lit("m")).alias("markers"), table_of.alias("table"), F.array(rule).alias("header_rules")))
+    return rows.select("path", F.when(k % 23 == 1, F.lit("[]")).otherwise(text).alias("json"))
+
+
+_CHECKED = REG + """, b AS (
+  SELECT path, unnest(CASE WHEN k % 23 = 1 THEN ['not_an_object'] ELSE list_concat(CASE WHEN k % 17 = 1 THEN ['unsupported_format'] ELSE [] END, CASE WHEN k % 19 = 1 THEN ['missing_bank_name'] ELSE [] END, CASE WHEN k % 13 = 1 THEN ['unknown_target'] ELSE [] END,
+    CASE WHEN k % 11 = 1 THEN ['empty_column'] ELSE [] END) END) AS error FROM (SELECT path, substr(path, 2, 9)::INT AS k FROM f)),
+good AS (SELECT * FROM f WHERE path NOT IN (SELECT path FROM b)),
+firsts AS (SELECT * FROM good WHERE NOT moved QUALIFY row_number() OVER (PARTITION BY bank_code, layout_id, version ORDER BY path) = 1)"""
+
+
+@query("src7_checked_registry", f"WITH {_CHECKED} SELECT path, bank_code, layout_id, version, CASE WHEN substr(path, 2, 9)::INT % 2 = 0 THEN 4.5 END::DOUBLE AS line_tolerance, substr(path, 2, 9)::INT % 3 = 0 AS own_empties, ['balance_chain'] AS required_checks, [1] AS pages FROM firsts WHERE status = 'approved'")
+def src7_checked_registry(spark, d):
+    """Template files read as they stand: only those without a problem load."""
+    rows = Y.loaded(stored(Y.parse_templates(_template_files(spark, d)), "templates"))
+    return rows.select("path", "bank_code", "layout_id", "version", F.col("table.line_tolerance").alias("line_tolerance"), F.col("table.empty_tokens").isNotNull().alias("own_empties"), "required_checks", F.col("header_rules")[0]["pages"].alias("pages"))
+
+
+@query("src7_refused_files", f"WITH {_CHECKED} SELECT path, error FROM b UNION ALL SELECT path, CASE WHEN moved THEN 'path_mismatch' ELSE 'duplicate' END FROM good WHERE path NOT IN (SELECT path FROM firsts)")
+def src7_refused_files(spark, d):
+    return Y.refused(stored(Y.parse_templates(_template_files(spark, d)), "templates"))
+
+
 def _statements(spark, d):
     rows = ledger(spark, d).withColumn("description", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
     money = {c: F.col(c).cast("decimal(18,0)") / 100 for c in ("debit", "credit", "balance")}

@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import SPACE
+from tallyspark.sources.codec import HEADER, SUMMARY
 
 LAYOUT = "format int, layout string, source string, note string, pages array<struct<number:int,width:double,height:double,words:array<array<string>>>>"
 TEMPLATE = (
-    "template_id string, bank_code string, layout_id string, version int, status string, strategy string, markers array<string>, "
-    "table struct<columns:array<struct<role:string,x0:double,x1:double,label:string>>,amount_mode:string,date_formats:array<string>>, "
-    "header_rules array<struct<kind:string,targets:array<string>,pages:array<int>,pattern:string>>"
+    "format int, template_id string, bank_code string, bank_name string, layout_id string, version int, status string, strategy string, markers array<string>, "
+    "table struct<columns:array<struct<role:string,x0:double,x1:double,label:string>>,amount_mode:string,date_formats:array<string>,header_tokens:array<string>,min_header_tokens:int,header_on_every_page:boolean,"
+    "empty_tokens:array<string>,line_tolerance:double>, "
+    "header_rules array<struct<kind:string,targets:array<string>,pages:array<int>,pattern:string,flags:string,after:string,before:string,x_min:double,x_max:double,lines:array<int>,strip:string,join:string,date_formats:array<string>>>, "
+    "required_checks array<string>, provenance map<string,string>, regression map<string,string>"
 )
+FORMAT = 1
+REQUIRED = ("bank_code", "bank_name", "layout_id", "version", "markers", "table")
+TARGETS = tuple(f"header.{k}" for k in HEADER if k != "extra") + tuple(f"summary.{k}" for k in SUMMARY)
 # fixed values: what a template may say
 ROLES = ("txn_date", "value_date", "description", "reference", "debit", "credit", "amount", "dr_cr", "balance", "ignore")
 KINDS, STATUSES, MODES, STRATEGIES = ("regex", "region", "block"), ("approved", "candidate", "rejected"), ("columns", "signed", "dr_cr"), ("word_columns",)
@@ -98,6 +104,40 @@ def load_errors(files: DataFrame) -> DataFrame:
     return files.join(good, "path", "left_anti").select("path", F.when(moved, "path_mismatch").otherwise("duplicate").alias("error"))
 
 
+def parse_templates(files: DataFrame) -> DataFrame:
+    """(path, json) to path, the template's columns and its problems; a text that is no object has the one that says so.
+
+    What a file leaves out is set as when it is read by hand: approved, words in
+    columns, header on every page, dashes and blanks as empty amounts, header
+    rules for page 1 and, where no check is named, the balance chain.
+    """
+    rows = files.select("path", "json", F.from_json("json", TEMPLATE).alias("t")).select("path", "json", "t.*")
+    known = F.array(*[F.lit(t) for t in TARGETS])
+    strange = F.exists(F.flatten(F.coalesce(F.transform("header_rules", lambda r: F.coalesce(r["targets"], F.array().cast("array<string>"))), F.array().cast("array<array<string>>"))), lambda t: ~F.array_contains(known, t) & ~t.startswith("header.extra."))
+    good = F.try_variant_get(F.try_parse_json("json"), "$", "map<string,variant>").isNotNull()
+    first = F.when(~good, F.array(F.lit("not_an_object"))).otherwise(F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("format") == FORMAT, F.lit(False)), F.lit("unsupported_format")),
+        *[F.when(F.col(k).isNull(), F.lit(f"missing_{k}")) for k in REQUIRED], F.when(strange, F.lit("unknown_target")),
+    )))
+    found = template_problems(rows.withColumn("template_id", F.col("path"))).groupBy("template_id").agg(F.array_sort(F.collect_set("problem")).alias("more")).withColumnRenamed("template_id", "path")
+    rows = rows.withColumn("first", first).join(found, "path", "left")
+    problems = F.when(F.array_contains("first", "not_an_object"), F.col("first")).otherwise(F.concat("first", F.coalesce("more", F.array().cast("array<string>"))))
+    rule = F.transform("header_rules", lambda r: r.withField("pages", F.coalesce(r["pages"], F.array(F.lit(1)))).withField("date_formats", F.coalesce(r["date_formats"], F.array().cast("array<string>"))))
+    rows = rows.withColumns({"problems": problems, "status": F.coalesce("status", F.lit("approved")), "strategy": F.coalesce("strategy", F.lit("word_columns")), "header_rules": rule, "required_checks": F.coalesce("required_checks", F.array(F.lit("balance_chain")))})
+    return rows.drop("first", "more", "json")
+
+
+def loaded(templates: DataFrame, with_unapproved: bool = False) -> DataFrame:
+    """Parsed templates that load: without a problem, standing where they say, the first of duplicates."""
+    return registry(templates.filter(F.size("problems") == 0), with_unapproved).drop("problems")
+
+
+def refused(templates: DataFrame) -> DataFrame:
+    """(path, error) of the files that do not load: each problem of its own, a wrong place or a duplicate."""
+    wrong = templates.filter(F.size("problems") > 0).select("path", F.explode("problems").alias("error"))
+    return wrong.unionByName(load_errors(templates.filter(F.size("problems") == 0)))
+
+
 def first_password(texts: DataFrame) -> DataFrame:
     """(doc, content) to the first line that is not blank; for use, never to be stored."""
     lines = F.filter(F.split("content", r"\r?\n"), lambda line: F.regexp_replace(line, SPACE, "") != "")
