@@ -11,8 +11,9 @@ pair is found twice. A word's form is its most frequent near word; roots follow
 forms by doubling, whose rounds grow with the logarithm of the longest way (which
 itself is at most a logarithm of the largest count, as counts double on it).
 
-A segment that many words share makes one key of the join; adaptive execution
-splits it. Its words are never collected.
+A segment that more than ``HOT`` words share is split: the words that probe it are
+dealt over parts of about ``HOT`` of them, and each part meets all words indexed
+under it. No segment's words are collected or listed as pairs.
 
 Defined cases: a null text has no words; a null doc_id counts as an empty text in
 the misspelling hash; repeated rows count again; an empty table gives an empty
@@ -26,13 +27,17 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialise, table
+from tallyspark.llm.common import checkpointed, discard, materialise, table
 
 RUN = "([a-zÀ-ÿ]+)"
 MIN_CHARS, MIN_COUNT = 5, 3
 #: One run in so many loses a code point, by the hash of its document and itself.
 TYPO_EVERY = 97
 RATIO = 2
+#: Words under one segment from which on its probes are dealt over several tasks.
+HOT = 1_000
+#: The table of such segments is broadcast up to this many rows (some 50 bytes each), else joined by a shuffle.
+BROADCAST_SEGMENTS = 100_000
 
 
 def misspelt(doc_id: Column, run: Column, every: int = TYPO_EVERY) -> Column:
@@ -64,10 +69,16 @@ def links(words: DataFrame) -> DataFrame:
     index = words.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode(_segments(F.col("word"), chars)).alias("s")).select("a", "n_a", "s.*")
     keys = F.concat(_segments(F.col("word"), chars), F.when(chars > MIN_CHARS, _segments(F.col("word"), chars - 1)).otherwise(F.array()))
     probe = words.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.explode(keys).alias("s")).select("b", "n_b", "s.*")
+    on = ["l", "part", "key"]
+    hot = checkpointed(index.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")).filter("parts > 1"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_SEGMENTS else hot
+    parts = F.coalesce("parts", F.lit(1))
+    index = index.join(hot, on, "left").withColumn("dealt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    probe = probe.join(hot, on, "left").withColumn("dealt", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
     half = F.floor(F.col("l") / 2).cast("int")
     ordered = (F.length("b") > F.col("l")) | (F.col("a") < F.col("b"))
     found_before = (F.col("part") == 1) & (F.substring(F.col("a"), F.lit(1), half) == F.substring(F.col("b"), F.lit(1), half))
-    pairs = index.join(probe, ["l", "part", "key"])
+    pairs = index.join(probe, [*on, "dealt"])
     return pairs.filter(ordered & ~found_before & (F.levenshtein("a", "b", 1) == 1)).select("a", "n_a", "b", "n_b")
 
 

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import spelling as S
@@ -71,7 +72,9 @@ def test_equals_brute_force(spark):
         assert got == expected(rows) and sum(r[4] for r in got) > 100
 
 
-def test_every_pair_once(spark):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_every_pair_once(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
     words = spark.createDataFrame([(w, 3) for w in sorted({w for _, t in made(3) for w in re.findall("[a-zé÷ß]{5,}", t)})], "word string, n long")
     pairs = [tuple(sorted((r["a"], r["b"]))) for r in S.links(words).collect()]
     known = [r["word"] for r in words.collect()]
