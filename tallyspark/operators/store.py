@@ -150,18 +150,16 @@ def drift(documents: DataFrame, templates: DataFrame) -> DataFrame:
 
     ``documents``: document_id, bank_code, markers found; ``templates``: bank_code,
     layout, version, markers. A layout whose markers all match has changed inside;
-    else a bank with templates prints a new layout. Templates are a registry of
-    files, far below a broadcast's bound, so no document is shuffled.
+    else a bank with templates prints a new layout. Markers found and markers
+    wanted meet by a join and are counted, so a registry can be of any size.
     """
-    from pyspark.sql.functions import broadcast
-
-    known = templates.select(F.col("bank_code").alias("t_bank"), "layout", "version", "markers")
-    match = (F.size("markers") > 0) & F.forall("markers", lambda m: F.array_contains("found", m))
-    pairs = documents.join(broadcast(known), (F.size("markers") > 0) & match, "left")
-    best = F.min(F.when(F.col("layout").isNotNull(), F.struct((-F.size("markers")).alias("k"), "t_bank", "layout", (-F.col("version")).alias("v"))))
-    per = pairs.groupBy("document_id", "bank_code").agg(best.alias("best"))
+    known = templates.select(F.col("bank_code").alias("t_bank"), "layout", "version", F.size("markers").alias("n"), F.array_distinct("markers").alias("ms")).withColumn("wanted", F.size("ms"))
+    wanted = known.select("t_bank", "layout", "version", "n", "wanted", F.explode("ms").alias("marker"))
+    hits = documents.select("document_id", F.explode(F.array_distinct("found")).alias("marker")).join(wanted, "marker")
+    whole = hits.groupBy("document_id", "t_bank", "layout", "version", "n", "wanted").agg(F.count(F.lit(1)).alias("m")).filter("m = wanted")
+    best = whole.groupBy("document_id").agg(F.min(F.struct((-F.col("n")).alias("k"), "t_bank", "layout", (-F.col("version")).alias("v"))).alias("best"))
     banks = known.select(F.col("t_bank").alias("bank_code")).distinct().withColumn("known", F.lit(True))
-    per = per.join(broadcast(banks), "bank_code", "left")
+    per = documents.select("document_id", "bank_code").distinct().join(best, "document_id", "left").join(banks, "bank_code", "left")
     reason = F.when(F.col("best").isNotNull(), "template_failed").when(F.col("known") & (F.col("bank_code") != "unknown"), "new_layout_for_known_bank")
     return per.select("document_id", F.when(F.col("best").isNotNull(), F.col("best.t_bank")).otherwise(F.col("bank_code")).alias("bank_code"), F.col("best.layout").alias("layout"), reason.alias("reason")).filter("reason is not null")
 

@@ -187,15 +187,15 @@ def rev3_history(spark, d):
     return R.with_history(_levels(spark, d), items, wrong, votes)[0]
 
 
-@query("rev3_muted_items", """SELECT o_custkey AS doc, 'row:1:money' AS item, o_custkey % 4 >= 2 AND o_custkey % 4 > o_custkey % 3 AS muted, row_number() OVER (ORDER BY 1) * 0 AS zero FROM orders GROUP BY o_custkey
-UNION ALL SELECT o_custkey, 'history:header.ifsc', false, 0 FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey""")
+@query("rev3_muted_items", """SELECT o_custkey AS doc, 'row:1:money' AS item, o_custkey % 4 >= 2 AND o_custkey % 4 > o_custkey % 3 AS muted FROM orders GROUP BY o_custkey
+UNION ALL SELECT o_custkey, 'history:header.ifsc', false FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey""")
 def rev3_muted_items(spark, d):
     docs = table(spark, d, "orders").select(F.col("o_custkey").alias("doc")).distinct()
     wrong = docs.filter("doc % 3 = 0").select("doc", F.lit("header.ifsc").alias("field"), F.lit(1).alias("times"))
     fields = docs.select("doc", F.lit("header.ifsc").alias("field"), F.lit("high").alias("level"))
     items = docs.select("doc", F.lit("row:1:money").alias("item"), F.lit("low").alias("level"), F.lit(False).alias("muted"))
     votes = docs.select("doc", F.lit("row:*:money").alias("kind"), (F.col("doc") % 3).alias("agree"), (F.col("doc") % 4).alias("disagree"))
-    return R.with_history(fields, items, wrong, votes)[1].select("doc", "item", "muted", F.lit(0).cast("long").alias("zero"))
+    return R.with_history(fields, items, wrong, votes)[1].select("doc", "item", "muted")
 
 
 @query("rev4_calibration", f"""{_LEVELS}, marked AS (SELECT DISTINCT doc FROM lv WHERE doc % 2 = 0)

@@ -126,12 +126,14 @@ def inf9_table_starts(spark, d):
     return I.table_starts(L.group_lines(statement_words(spark, d))).select("doc", "page")
 
 
-@query("inf12_heading_lines", f"WITH {LEDGER_SQL}, p AS (SELECT doc, (i // 25 + 1)::INT AS page, count(*) AS n, min(i % 25) FILTER (WHERE debit IS NOT NULL OR credit IS NOT NULL OR balance IS NOT NULL) AS f FROM ledger GROUP BY ALL) SELECT doc, page, 0 AS line_no FROM p WHERE n >= 2 AND f > 99")
+@query("inf12_heading_lines", f"""WITH {LEDGER_SQL}, p AS (SELECT doc, (i // 25 + 1)::INT AS page, count(*) AS n, min(i % 25) FILTER (WHERE debit IS NOT NULL OR credit IS NOT NULL OR balance IS NOT NULL) AS f FROM ledger GROUP BY ALL)
+SELECT doc, page, CASE WHEN f = 0 THEN 'Date Details Debit Credit Balance' ELSE 'second line' END AS text FROM p WHERE n >= 2""")
 def inf12_heading_lines(spark, d):
-    """The statements' headings stand 21 points over the first row, more than two heights: none is taken."""
-    lines = L.group_lines(statement_words(spark, d))
-    kept = lines.join(I.table_starts(lines).filter("first = 1").select("doc", "page"), ["doc", "page"])
-    return I.heading_lines(kept, I.table_starts(kept))
+    """What stands close over the first row with an amount: the heading, or the end of a row without one."""
+    from tallyspark.plans.engine import labelled_words
+
+    lines = L.group_lines(labelled_words(spark, d))
+    return lines.join(I.heading_lines(lines, I.table_starts(lines)), ["doc", "page", "line_no"]).select("doc", "page", "text")
 
 
 @query("inf15_word_roles", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS usable, CASE p_partkey % 4 WHEN 0 THEN 'columns' WHEN 1 THEN 'columns' WHEN 2 THEN 'signed' ELSE 'dr_cr' END AS mode FROM part")

@@ -177,7 +177,13 @@ def hdr2_region_text(spark, d):
     return region_text(group_lines(statement_words(spark, d)), after="^Date Details", before="^second", x_min=95.0, x_max=305.0, join="/")
 
 
-@query("hdr3_block_values", f"WITH {LEDGER_SQL} SELECT doc, (i // 25 + 1)::INT AS page, o_orderkey || ' line' AS value FROM ledger WHERE false")
+@query("hdr3_block_values", "SELECT c_custkey AS doc, 1 AS page, 'House ' || c_custkey || ' ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN ' ' || c_mktsegment ELSE '' END AS value FROM customer WHERE c_custkey % 5 <> 0")
 def hdr3_block_values(spark, d):
-    """A labelled value that the statements do not print: nothing may be found."""
-    return block_values(group_lines(statement_words(spark, d)), r"\bAccount\s+holder\s+name\s*:")
+    """Addresses that go on under their label, in its column; every second one's last line is too far away, every fifth has no label."""
+    k = F.col("c_custkey")
+    word = lambda text, x0, x1, top: F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), (F.lit(top) if isinstance(top, float) else top).alias("top"))
+    label = F.when(k % 5 == 0, "note").otherwise("address:")
+    far = F.when(k % 2 == 0, 122.0).otherwise(200.0)
+    ws = F.array(word("Customer", 30.0, 70.0, 100.0), word(label, 74.0, 110.0, 100.0), word("House", 130.0, 160.0, 100.0), word(k.cast("string"), 165.0, 195.0, 100.0), word("aside", 400.0, 430.0, 100.0), word(F.col("c_name"), 130.0, 220.0, 111.0), word(F.col("c_mktsegment"), 130.0, 190.0, far))
+    rows = table(spark, d, "customer").select(k.alias("doc"), F.lit(1).alias("page"), F.posexplode(ws).alias("seq", "w")).select("doc", "page", "seq", "w.text", "w.x0", "w.x1", "w.top", (F.col("w.top") + 9.0).alias("bottom"))
+    return block_values(group_lines(rows), r"\b(?:Account\s+holder|Customer)\s+address\s*:")
