@@ -19,6 +19,9 @@ from tallyspark.llm.common import discard, materialise, table
 MIN_LANGUAGE_SCORE = 0.11
 SURE_LETTERS = 32
 
+#: BPE pieces a worker keeps: fewer than by default, for it also holds what the stages before have left in it.
+PIECES = 100_000
+
 #: SQL has no language model, forest or hash draw; tests compare with a brute-force version.
 ORACLE_SQL = None
 
@@ -50,7 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
-    return bpe.digests(docs.select("doc_id", "source", "lang", "text")).drop("text")
+    return bpe.digests(docs.select("doc_id", "source", "lang", "text"), cache=PIECES).drop("text")
 
 
 STAGES = [

@@ -9,7 +9,7 @@ in logarithmic time, until the root says that no pair can be merged.
 Vocabulary, merges, the split pattern's kind and the special tokens are read
 from a tokenizer file whose path is a parameter; nothing of it is kept here.
 Each worker keeps the ids of short pieces as packed bytes, in two generations of
-up to ``CACHE_PIECES``: a full one takes the older one's place.
+up to ``cache`` pieces: a full one takes the older one's place.
 Encoding and decoding are one narrow pass.
 
 Defined cases: a null text is empty; an empty text has no tokens and decodes to
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import bounded_batches, table
 
-#: Pieces of more bytes than this are encoded but not kept.
+#: Pieces a generation keeps unless its caller says otherwise; pieces of more bytes than this are encoded but not kept.
 CACHE_PIECES, CACHE_BYTES = 300_000, 64
 NONE = 1 << 62
 PLACE = 32
@@ -49,7 +49,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Bpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec["pre_tokenizer"], spec["model"]
@@ -70,6 +70,7 @@ class Bpe:
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.cache = CACHE_PIECES if cache is None else cache
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge a piece's symbols with a segment tree over its adjacent pairs."""
@@ -131,7 +132,7 @@ class Bpe:
             packed = array("I", self.merge(list(map(self.start.__getitem__, raw)))).tobytes()
             if len(raw) > CACHE_BYTES:
                 return packed
-        if len(self.kept) >= CACHE_PIECES:
+        if len(self.kept) >= self.cache:
             self.kept, self.older = {}, self.kept
         self.kept[text] = packed
         return packed
@@ -162,8 +163,8 @@ class Bpe:
 
 
 @lru_cache(4)
-def load(path: str) -> Bpe:
-    return Bpe(path)
+def load(path: str, cache: int | None = None) -> Bpe:
+    return Bpe(path, cache)
 
 
 def unpack(packed: bytes) -> list[int]:
@@ -202,13 +203,16 @@ def decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return bounded_batches(docs).withColumn("decoded", texts("token_ids"))
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256: encoded and decoded in one pass."""
+def digests(docs: DataFrame, path: str | None = None, cache: int | None = None) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256: encoded and decoded in one pass.
+
+    A smaller ``cache`` takes less of a worker's memory and more of its time.
+    """
     path = path or default_path()
 
     @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
     def both(text: pd.Series) -> pd.DataFrame:
-        bpe = load(path)
+        bpe = load(path, cache)
         rows = []
         for t in text:
             packed = bpe.encode(t if isinstance(t, str) else "")
