@@ -23,5 +23,5 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-for _part in ("checks", "scalars", "words", "store", "golden", "infer", "sources", "learning", "engine", "trials", "codec", "runs"):
+for _part in ("checks", "scalars", "words", "store", "golden", "infer", "sources", "learning", "engine", "trials", "ruled", "codec", "runs"):
     importlib.import_module(f"tallyspark.plans.{_part}")
