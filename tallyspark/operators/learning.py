@@ -50,8 +50,12 @@ def few_shot(examples: DataFrame) -> DataFrame:
 
 
 def roles_by_overlap(found: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc, c, x0, x1) with role: that of the known column (doc, role, x0, x1) that overlaps most."""
-    k = known.select("doc", "role", F.col("x0").alias("k0"), F.col("x1").alias("k1"))
+    """(doc, c, x0, x1) with role: that of the known column (doc, role, x0, x1) that overlaps most.
+
+    Both sides have rows for every document, so neither is sent to the driver,
+    however small the files are that they come from.
+    """
+    k = known.select("doc", "role", F.col("x0").alias("k0"), F.col("x1").alias("k1")).hint("merge")
     rows = found.join(k, "doc").withColumn("overlap", F.least("x1", "k1") - F.greatest("x0", "k0"))
     best = F.max(F.struct("overlap", "role")).alias("b")
     return rows.groupBy("doc", "c").agg(best).select("doc", "c", F.when(F.col("b.overlap") > 0, F.col("b.role")).otherwise("ignore").alias("role"))

@@ -16,3 +16,8 @@ def test_only_texts_are_shuffled(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0] and "hashpartitioning(doc" in exchanges[0]
+
+
+def test_neither_side_of_an_overlap_is_broadcast(spark):
+    df = registry.QUERIES["jn7_roles_by_overlap"](spark, SF)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
